@@ -1,0 +1,9 @@
+"""The registered queries of the core."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
