@@ -1,9 +1,40 @@
-"""The registered queries of the core."""
+"""The registered queries of the core, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casebook.operators import records
+from casebook.storage import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return records.failures(records.parse_records(table(spark, d, "raw_records")))
+
+
+def p2_loaded_bulk_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """The valid bulk tickets as typed rows."""
+    return records.loaded(records.parse_records(table(spark, d, "raw_records")), "bulk_tickets")
+
+
+def p2_loaded_history(spark: SparkSession, d: str) -> DataFrame:
+    """The valid history records as typed rows."""
+    return records.loaded(records.parse_records(table(spark, d, "raw_records")), "boilerplate_history")
+
+
+def p2_located_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every failing record with what is wrong and where."""
+    failed = records.parse_records(table(spark, d, "raw_records")).where(F.col("reason").isNotNull())
+    raw = table(spark, d, "raw_records").select("record_id", "file_name", "line_no")
+    return failed.join(raw, "record_id").select("record_id", "record_no", "file_name", (F.col("line_no") + F.col("error_line") - 1).alias("file_line"), "error_column", "reason", "message")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {}
