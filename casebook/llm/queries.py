@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import leaks, minhash, survivor, topn, unify
-from casebook.storage import table
+from casebook.llm import leaks, minhash, mixing, quality, survivor, topn, unify
+from casebook.storage import materialise, table
 
 
 def _typed_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +115,33 @@ def p6_clean_documents(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture in its order."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.mixture(mixing.source_texts(table(spark, d, "documents"), targets), targets)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    targets = table(spark, d, "mix_targets")
+    texts = mixing.source_texts(table(spark, d, "documents"), targets)
+    mixed = materialise(mixing.mixture(texts, targets), "mixture")
+    return mixing.reached_shares(mixed, texts, targets)
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_kinds(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).where("kind <> 'prose'").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's statistics and kind."""
+    return _kinds(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
