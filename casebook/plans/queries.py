@@ -4,27 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casebook.operators import records
+from casebook.functions import gates
+from casebook.functions import text as T
+from casebook.operators import chunks, families, ranking, records, sums, textvectors
+from casebook.operators.search import hashed_counts, nearest_in_scope
+from casebook.plans import resolve
 from casebook.storage import table
+from casebook.streaming.ingest import ingest
 
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# What several statements share: white space, canonical parts, group keys.
+_WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}\x{b}]+"
+_flat = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '{_WS}', ' ', 'g'))"
+_trim = lambda c: f"regexp_replace(regexp_replace(coalesce({c}, ''), '^{_WS}', ''), '{_WS}$', '')"
+_part = lambda c: f"upper(regexp_replace(regexp_replace(coalesce({c}, ''), '\\p{{Cf}}', '', 'g'), '{_WS}', '', 'g'))"
+_code = lambda p: f"CASE WHEN contains({p}, '-') THEN split_part({p}, '-', 1) ELSE '' END"
+_groups = f"""g AS (SELECT {_part('commodity_code')} AS commodity_code, {_flat('group_name')} AS spelling FROM commodity_groups),
+    codes AS (SELECT DISTINCT commodity_code, lower(spelling) AS group_key FROM g WHERE commodity_code <> '' AND spelling <> ''),
+    names AS (SELECT lower(spelling) AS group_key, min(spelling) AS group_name FROM g WHERE commodity_code <> '' AND spelling <> '' GROUP BY 1),
+    twice AS (SELECT commodity_code, list_sort(list(group_key)) AS groups FROM codes GROUP BY 1 HAVING count(*) > 1),
+    fam AS (SELECT * FROM codes WHERE commodity_code NOT IN (SELECT commodity_code FROM twice))"""
+
+
+# ---------------------------------------------------------------- loading
+
+
+@_query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return records.failures(records.parse_records(table(spark, d, "raw_records")))
 
 
+@_query()
 def p2_loaded_bulk_tickets(spark: SparkSession, d: str) -> DataFrame:
     """The valid bulk tickets as typed rows."""
     return records.loaded(records.parse_records(table(spark, d, "raw_records")), "bulk_tickets")
 
 
+@_query()
 def p2_loaded_history(spark: SparkSession, d: str) -> DataFrame:
     """The valid history records as typed rows."""
     return records.loaded(records.parse_records(table(spark, d, "raw_records")), "boilerplate_history")
 
 
+@_query()
 def p2_located_errors(spark: SparkSession, d: str) -> DataFrame:
     """Every failing record with what is wrong and where."""
     failed = records.parse_records(table(spark, d, "raw_records")).where(F.col("reason").isNotNull())
@@ -32,9 +80,297 @@ def p2_located_errors(spark: SparkSession, d: str) -> DataFrame:
     return failed.join(raw, "record_id").select("record_id", "record_no", "file_name", (F.col("line_no") + F.col("error_line") - 1).alias("file_line"), "error_column", "reason", "message")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
+# ---------------------------------------------------------------- text columns
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+@_query(f"""SELECT src, canonical_part, count(*) AS n_rows, {_code('canonical_part')} AS commodity_code, canonical_part = '' OR regexp_full_match(canonical_part, '[-/_.]*') AS invalid
+    FROM (SELECT 'tickets' AS src, {_part('part_number')} AS canonical_part FROM incoming_tickets UNION ALL SELECT 'history', {_part('part_number')} FROM boilerplate_history) GROUP BY ALL""")
+def canonical_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical parts of tickets and history, with their codes."""
+    rows = table(spark, d, "incoming_tickets").select(F.lit("tickets").alias("src"), "part_number").unionByName(table(spark, d, "boilerplate_history").select(F.lit("history").alias("src"), "part_number"))
+    counts = rows.groupBy("src", T.canonical_part(F.col("part_number")).alias("canonical_part")).agg(F.count("*").alias("n_rows"))
+    return counts.withColumn("commodity_code", T.commodity_code(F.col("canonical_part"))).withColumn("invalid", ~T.valid_part(F.col("canonical_part")))
+
+
+@_query(f"""SELECT row_id, substr(sha256(t), 1, 32) AS text_key, length(t) AS n_characters, length(t) >= 15 AS usable FROM (SELECT row_id, {_trim('solution_text')} AS t FROM boilerplate_history)""")
+def solution_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Each solution's key, and whether it is long enough to be used."""
+    rows = table(spark, d, "boilerplate_history").select("row_id", T.trimmed(F.col("solution_text")).alias("t"))
+    return rows.select("row_id", T.text_key(F.col("t")).alias("text_key"), F.length("t").alias("n_characters"), (F.length("t") >= 15).alias("usable"))
+
+
+@_query(f"""SELECT ticket_id, CASE WHEN p = '' OR regexp_full_match(p, '[-/_.]*') THEN 'part' WHEN length(t) < 10 THEN 'problem' END AS invalid_field
+    FROM (SELECT ticket_id, {_part('part_number')} AS p, {_flat("regexp_replace(coalesce(problem_description, ''), '\\p{Cf}', '', 'g')")} AS t FROM incoming_tickets)""")
+def validated_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Which field of a ticket is invalid, the part first."""
+    rows = table(spark, d, "incoming_tickets").select("ticket_id", T.canonical_part(F.col("part_number")).alias("p"), T.collapsed(T.strip_invisible(F.col("problem_description"))).alias("t"))
+    return rows.select("ticket_id", F.when(~T.valid_part(F.col("p")), "part").when(F.length("t") < 10, "problem").alias("invalid_field"))
+
+
+@_query(f"""SELECT row_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 199) || '…' ELSE t END AS evidence FROM (SELECT row_id, {_flat('solution_text')} AS t FROM boilerplate_history)""")
+def evidence_extracts(spark: SparkSession, d: str) -> DataFrame:
+    """Each solution on one line, cut to 200 characters."""
+    return table(spark, d, "boilerplate_history").select("row_id", T.extract(F.col("solution_text"), 200).alias("evidence"))
+
+
+@_query(f"""SELECT doc_id, CASE WHEN f = '' THEN 0 ELSE len(string_split(f, ' ')) END AS n_words, CASE WHEN t = '' THEN 0 ELSE 1 + len(regexp_extract_all(t, '[.!?]{_WS}')) END AS n_sentences
+    FROM (SELECT doc_id, {_flat('text')} AS f, {_trim('text')} AS t FROM documents)""")
+def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Words and sentences of each document."""
+    return table(spark, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("n_words"), F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
+
+
+@_query("""SELECT row_id, epoch_us(try_cast(CASE WHEN regexp_matches(last_modified_date, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN last_modified_date ELSE last_modified_date || 'Z' END AS TIMESTAMPTZ)) AS modified_us FROM boilerplate_history""")
+def modified_instants(spark: SparkSession, d: str) -> DataFrame:
+    """The history's dates as microseconds since 1970."""
+    return table(spark, d, "boilerplate_history").select("row_id", F.unix_micros(T.instant(F.col("last_modified_date"))).alias("modified_us"))
+
+
+@_query("""SELECT percent, count(*) AS n FROM (SELECT CAST(trunc((least(greatest(composite_score, 0.0), 1.0) + 1e-6) * 100) AS INT) AS percent FROM candidates WHERE NOT isnan(composite_score)) GROUP BY 1""")
+def score_percents(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates have which score in percent."""
+    rows = table(spark, d, "candidates").where(F.col("composite_score").isNotNull() & ~F.isnan("composite_score"))
+    return rows.groupBy(T.percent(F.col("composite_score")).alias("percent")).agg(F.count("*").alias("n"))
+
+
+def _scan_sql(patterns: tuple, c: str) -> str:
+    flat = lambda p: p.replace("(?iU)", "(?i)").replace("(?U)", "")
+    lists = [f"list_transform(regexp_extract_all(coalesce({c}, ''), '{flat(p)}'), lambda x: {{'kind': '{k}', 'fragment': {_flat('x')}}})" for k, p in patterns]
+    return " || ".join(lists)
+
+
+@_query(f"""SELECT row_id, place, finding['kind'] AS kind, finding['fragment'] AS fragment FROM (
+    SELECT row_id, CAST(generate_subscripts(every, 1) - 1 AS INT) AS place, unnest(every) AS finding FROM (
+      SELECT row_id, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y.fragment)), lower(x.fragment)) = i) AS every FROM (
+        SELECT row_id, {_scan_sql(gates.REFERENCES, 'solution_text')} AS e FROM boilerplate_history)))""")
+def transferability_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of solutions that belong to their own record."""
+    rows = table(spark, d, "boilerplate_history").select("row_id", F.posexplode(gates.references(F.col("solution_text"))).alias("place", "f"))
+    return rows.select("row_id", "place", "f.kind", "f.fragment")
+
+
+@_query()
+def solution_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """How often which warning would stand beside a solution."""
+    return table(spark, d, "boilerplate_history").groupBy(gates.warning(F.col("solution_text")).alias("warning")).agg(F.count("*").alias("n_rows"))
+
+
+# ---------------------------------------------------------------- families and scopes
+
+
+@_query(f"WITH {_groups} SELECT group_key, group_name, list_sort(list(commodity_code)) AS members FROM fam JOIN names USING (group_key) GROUP BY 1, 2")
+def commodity_families(spark: SparkSession, d: str) -> DataFrame:
+    return families.family_members(families.grouped_codes(table(spark, d, "commodity_groups")))
+
+
+@_query(f"WITH {_groups} SELECT * FROM twice")
+def commodity_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return families.conflicts(families.grouped_codes(table(spark, d, "commodity_groups")))
+
+
+_scope = lambda t: f"""(SELECT *, CASE WHEN scope_kind = 'family' THEN 'f:' || group_key WHEN scope_kind <> 'none' THEN 'p:' || part END AS scope FROM (
+    SELECT x.*, group_key, CASE WHEN part = '' OR regexp_full_match(part, '[-/_.]*') THEN 'none' WHEN code = '' THEN 'part' WHEN code IN (SELECT commodity_code FROM twice) THEN 'conflict'
+      WHEN group_key IS NULL THEN 'unmapped' ELSE 'family' END AS scope_kind FROM (SELECT *, {_code('part')} AS code FROM (SELECT *, {_part('part_number')} AS part FROM {t})) x LEFT JOIN fam ON code = fam.commodity_code))"""
+
+
+@_query(f"WITH {_groups} SELECT ticket_id, scope_kind, scope FROM {_scope('incoming_tickets')}")
+def ticket_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Where each ticket looks for precedent."""
+    return families.with_scope(table(spark, d, "incoming_tickets"), families.grouped_codes(table(spark, d, "commodity_groups"))).select("ticket_id", "scope_kind", "scope")
+
+
+_usable = f"""usable AS (SELECT * FROM (SELECT row_id, upper({_trim('sps_id')}) AS sps_id, part_number, {_trim('problem_description')} AS problem, {_trim('solution_text')} AS solution FROM boilerplate_history)
+    WHERE sps_id <> '' AND length(problem) >= 15 AND length(solution) >= 15)"""
+_scoped = f"""scoped AS (SELECT DISTINCT * FROM (SELECT row_id, part, sps_id, problem, solution, scope FROM {_scope('usable')} WHERE scope IS NOT NULL
+    UNION ALL SELECT row_id, part, sps_id, problem, solution, 'p:' || part FROM {_scope('usable')} WHERE scope IS NOT NULL))"""
+
+
+@_query(f"""WITH {_groups}, {_usable}, {_scoped}, n AS (SELECT scope, count(*) AS n FROM scoped GROUP BY 1)
+    SELECT ticket_id, coalesce(n, 0) AS usable_rows FROM {_scope('incoming_tickets')} LEFT JOIN n USING (scope)""")
+def precedent_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many usable history rows each ticket's scope holds: scopes are counted before they meet the tickets."""
+    codes = families.grouped_codes(table(spark, d, "commodity_groups"))
+    counts = resolve.scoped_rows(resolve.usable_history(table(spark, d, "boilerplate_history")), codes).groupBy("scope").agg(F.count("*").alias("usable_rows"))
+    tickets = families.with_scope(table(spark, d, "incoming_tickets"), codes)
+    return tickets.join(counts, "scope", "left").select("ticket_id", F.coalesce("usable_rows", F.lit(0)).alias("usable_rows"))
+
+
+# ---------------------------------------------------------------- vectors and search
+
+
+@_query(f"SELECT substr(sha256(t), 1, 32) AS text_key, count(*) AS n_rows FROM (SELECT {_trim('problem_description')} AS t FROM boilerplate_history) WHERE t <> '' GROUP BY t")
+def distinct_problem_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that need a vector."""
+    return textvectors.distinct_texts(table(spark, d, "boilerplate_history"), "problem_description").select("text_key", "n_rows")
+
+
+@_query(f"""WITH h AS (SELECT DISTINCT {_trim('problem_description')} AS t FROM boilerplate_history) SELECT substr(sha256(t), 1, 32) AS text_key, n_rows
+    FROM (SELECT {_trim('problem_description')} AS t, count(*) AS n_rows FROM incoming_tickets GROUP BY 1) WHERE t <> '' AND t NOT IN (SELECT t FROM h)""")
+def missing_ticket_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Ticket texts whose vectors the history's can't supply."""
+    known = textvectors.distinct_texts(table(spark, d, "boilerplate_history"), "problem_description")
+    return textvectors.missing_texts(textvectors.distinct_texts(table(spark, d, "incoming_tickets"), "problem_description"), known).select("text_key", "n_rows")
+
+
+@_query()
+def problem_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of the history's different problems."""
+    return textvectors.encoded(textvectors.distinct_texts(table(spark, d, "boilerplate_history"), "problem_description"), hashed_counts, "hashed-256")
+
+
+@_query()
+def streamed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same, kept up to date by a stream of history files."""
+    return ingest(spark, f"{d}/boilerplate_history.parquet", "problem_description").select("model", "text_key", "vec")
+
+
+def _as_given(vectors: list) -> np.ndarray:
+    return np.array(vectors, float)
+
+
+_dot = "greatest(0.0, least(1.0, list_inner_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(r.embedding::DOUBLE[], r.embedding::DOUBLE[]))))"
+
+
+@_query(f"""SELECT query_id, row_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id::VARCHAR DESC) AS place FROM (
+    SELECT q.vec_id AS query_id, r.vec_id AS row_id, round({_dot}, 6) AS score FROM embeddings q JOIN embeddings r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)) WHERE place <= 5 AND score >= 0.1""")
+def nearest_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of the same label, for every vector whose id is divisible by 20."""
+    vectors = lambda name: table(spark, d, "embeddings").select(F.col("vec_id").alias(name), F.col("label").cast("string").alias("scope"), F.lit(None).cast("string").alias("own"), F.col("embedding").alias("content"))
+    asked = vectors("query_id").where(F.col("query_id") % 20 == 0)
+    given = vectors("row_id").withColumn("item", F.col("row_id").cast("string"))
+    found = nearest_in_scope(asked, given, _as_given, 6, 0.1).where(F.col("query_id") != F.col("row_id"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("item")))
+    return found.withColumn("score", F.round("score", 6)).withColumn("place", order).where("place <= 5").select("query_id", "row_id", "score", "place")
+
+
+_tok = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+_search = f"""{_groups}, {_usable}, {_scoped},
+    asked AS (SELECT ticket_id, part, scope, problem FROM (SELECT *, {_flat("regexp_replace(coalesce(problem_description, ''), '\\p{Cf}', '', 'g')")} AS problem FROM {_scope('incoming_tickets')})
+      WHERE scope IS NOT NULL AND length(problem) >= 10 AND ticket_id % 20 = 0),
+    qv AS (SELECT ticket_id, substr(md5(t), 1, 2) AS b, count(*) AS n FROM (SELECT ticket_id, unnest({_tok('problem')}) AS t FROM asked) GROUP BY 1, 2),
+    rv AS (SELECT row_id, substr(md5(t), 1, 2) AS b, count(*) AS n FROM (SELECT row_id, unnest({_tok('problem')}) AS t FROM (SELECT DISTINCT row_id, problem FROM scoped)) GROUP BY 1, 2),
+    qn AS (SELECT ticket_id, sum(n * n)::DOUBLE AS nn FROM qv GROUP BY 1), rn AS (SELECT row_id, sum(n * n)::DOUBLE AS nn FROM rv GROUP BY 1),
+    met AS (SELECT DISTINCT ticket_id, row_id, sps_id, asked.part = scoped.part AS exact FROM asked JOIN scoped USING (scope)),
+    dots AS (SELECT met.ticket_id, met.row_id, sps_id, exact, sum(qv.n * rv.n)::DOUBLE AS dot FROM met JOIN qv ON met.ticket_id = qv.ticket_id JOIN rv ON met.row_id = rv.row_id AND qv.b = rv.b GROUP BY ALL),
+    scores AS (SELECT dots.*, least(1.0, dot / sqrt(qn.nn * rn.nn)) AS score FROM dots JOIN qn USING (ticket_id) JOIN rn USING (row_id)),
+    once AS (SELECT *, row_number() OVER (PARTITION BY ticket_id, sps_id ORDER BY score DESC, exact DESC, row_id) AS again FROM scores),
+    best AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, exact DESC, sps_id DESC, row_id) AS place FROM once WHERE again = 1)"""
+
+
+@_query(f"WITH {_search} SELECT ticket_id, row_id, sps_id, round(score, 6) AS score, exact, place FROM best WHERE place <= 5 AND score >= 0.3")
+def ticket_shortlists(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar history records of each ticket whose id is divisible by 20, among all of its scope."""
+    tickets = table(spark, d, "incoming_tickets").where(F.col("ticket_id") % 20 == 0)
+    found = resolve.shortlisted(tickets, table(spark, d, "boilerplate_history"), table(spark, d, "commodity_groups"))
+    return found.select(F.col("query_id").alias("ticket_id"), "row_id", F.col("item").alias("sps_id"), F.round("score", 6).alias("score"), "exact", "place")
+
+
+_jaccard = "len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct({a} || {b}))"
+
+
+@_query(f"""WITH {_search}, top AS (SELECT best.*, problem AS asked FROM best JOIN asked USING (ticket_id) WHERE place <= 5 AND score >= 0.3),
+    scored AS (SELECT top.*, usable.solution, CAST(floor(100 * {_jaccard.format(a=_tok('asked'), b=_tok('usable.problem'))} + 0.5) AS INT) AS intent FROM top JOIN usable USING (row_id)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY intent DESC, exact DESC, score DESC, sps_id DESC) AS solution_rank FROM scored WHERE intent >= 75)
+    SELECT ticket_id, solution_rank, sps_id, CAST(trunc((score + 1e-6) * 100) AS INT) AS confidence, intent, exact AS exact_part, solution AS solution_text FROM placed WHERE solution_rank <= 3""")
+def resolve_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three verbatim, recorded solutions for each ticket whose id is divisible by 20."""
+    tickets = table(spark, d, "incoming_tickets").where(F.col("ticket_id") % 20 == 0)
+    return resolve.resolved(tickets, table(spark, d, "boilerplate_history"), table(spark, d, "commodity_groups"))
+
+
+# ---------------------------------------------------------------- ranking and tallies
+
+_clean = "SELECT *, least(greatest(composite_score, 0.0), 1.0) AS score, coalesce(exact_part, false) AS exact FROM candidates WHERE NOT isnan(composite_score) AND sps_id IS NOT NULL"
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "candidates").select("cand_id", "ticket_id", "sps_id", "composite_score", F.coalesce("exact_part", F.lit(False)).alias("exact"))
+    return rows.withColumn("score", ranking.limited(F.col("composite_score"))).where(F.col("score").isNotNull() & F.col("sps_id").isNotNull())
+
+
+_ORDER = [F.desc, "score"], [F.desc, "exact"], [F.desc, "sps_id"], [F.asc, "cand_id"]
+
+
+def _order() -> list:
+    return [f(c) for f, c in _ORDER]
+
+
+_placed = f"""WITH c AS ({_clean}), once AS (SELECT *, row_number() OVER (PARTITION BY ticket_id, sps_id ORDER BY score DESC, exact DESC, cand_id) AS again FROM c {{w}}),
+    best AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, exact DESC, sps_id DESC, cand_id) AS place FROM once WHERE again = 1)"""
+
+
+@_query(_placed.format(w="WHERE score >= 0.3") + " SELECT ticket_id, cand_id, sps_id, place FROM best WHERE place <= 5")
+def candidate_shortlists(spark: SparkSession, d: str) -> DataFrame:
+    """Each ticket's five best candidates above the gate, a record once."""
+    return ranking.shortlist(_candidates(spark, d), "ticket_id", "sps_id", "score", _order(), 5, 0.3).select("ticket_id", "cand_id", "sps_id", "place")
+
+
+@_query(_placed.format(w="") + " SELECT ticket_id, cand_id, CAST(trunc((score + 1e-6) * 100) AS INT) AS percent, place FROM best WHERE place <= 3")
+def near_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Each ticket's three best candidates, whatever their scores."""
+    return ranking.best_items(_candidates(spark, d), "ticket_id", "sps_id", _order()).where("place <= 3").select("ticket_id", "cand_id", T.percent(F.col("score")).alias("percent"), "place")
+
+
+@_query("""SELECT ticket_id, count(*) AS matched, count(s) AS considered, count(DISTINCT CASE WHEN s >= 0.3 THEN sps_id END) AS qualified, max(s) AS top_score
+    FROM (SELECT *, CASE WHEN NOT isnan(composite_score) THEN least(greatest(composite_score, 0.0), 1.0) END AS s FROM candidates) GROUP BY 1""")
+def ticket_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What each ticket's candidates come to."""
+    return ranking.counters(table(spark, d, "candidates"), "ticket_id", "sps_id", ranking.limited(F.col("composite_score")), 0.3)
+
+
+@_query("""SELECT issue_type, count(*) AS n, min(row_id) AS first_row FROM (SELECT lower(trim(coalesce(issue_type, ''))) AS issue_type, row_id FROM bulk_tickets) GROUP BY 1""")
+def issue_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Bulk tickets by issue type; ties are told apart by the first row."""
+    rows = table(spark, d, "bulk_tickets").select(F.lower(F.trim(T.text(F.col("issue_type")))).alias("issue_type"), "row_id")
+    return rows.groupBy("issue_type").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row")).orderBy(F.desc("n"), "first_row")
+
+
+_pick = lambda f: f"l[1 + CAST(trunc({f}::DOUBLE * (n - 1)) AS INT)]"
+
+
+@_query(f"""SELECT issue_type, n, l[1] AS lowest, {_pick(0.25)} AS p25, {_pick(0.5)} AS median, {_pick(0.75)} AS p75, {_pick(0.9)} AS p90, l[n] AS highest
+    FROM (SELECT issue_type, count(*) AS n, list_sort(list(composite_score)) AS l FROM candidates WHERE issue_type IS NOT NULL AND NOT isnan(composite_score) GROUP BY 1)""")
+def score_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the candidates' scores by issue type."""
+    shares = {"lowest": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "highest": 1.0}
+    return sums.floor_percentiles(table(spark, d, "candidates"), "issue_type", "composite_score", shares)
+
+
+@_query("""WITH m AS (SELECT user_id, event_type = 'error' AS hit, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)
+    SELECT user_id, max(run) AS longest_run FROM (SELECT user_id, island, count(*) FILTER (WHERE hit) AS run FROM m GROUP BY 1, 2) GROUP BY 1""")
+def error_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's longest run of errors."""
+    return sums.longest_runs(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+
+
+@_query("""SELECT min(cosine_similarity) FILTER (WHERE exact_part) AS least_match, max(cosine_similarity) FILTER (WHERE NOT exact_part) AS most_other,
+    count(*) FILTER (WHERE exact_part) AS n_match, count(*) FILTER (WHERE NOT exact_part) AS n_other FROM candidates WHERE NOT isnan(cosine_similarity)""")
+def score_separation(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a gate could tell own-part candidates from others."""
+    rows = table(spark, d, "candidates").where(F.col("cosine_similarity").isNotNull() & ~F.isnan("cosine_similarity"))
+    own, score = F.col("exact_part"), F.col("cosine_similarity")
+    return rows.agg(F.min(F.when(own, score)).alias("least_match"), F.max(F.when(~own, score)).alias("most_other"), F.count_if(own).alias("n_match"), F.count_if(~own).alias("n_other"))
+
+
+@_query("WITH h AS (SELECT DISTINCT upper(" + _trim('sps_id') + ") AS sps_id FROM boilerplate_history), t AS (SELECT DISTINCT upper(" + _trim('sps_id') + """) AS sps_id FROM incoming_tickets)
+    SELECT sps_id, t.sps_id IS NOT NULL AS asked, h.sps_id IS NOT NULL AS recorded FROM h FULL JOIN t USING (sps_id) WHERE sps_id <> ''""")
+def record_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that only tickets, only the history or both have."""
+    ids = lambda t, c: table(spark, d, t).select(F.upper(T.trimmed(F.col("sps_id"))).alias("sps_id")).where("sps_id <> ''").distinct().withColumn(c, F.lit(True))
+    both = ids("incoming_tickets", "asked").join(ids("boilerplate_history", "recorded"), "sps_id", "full")
+    return both.select("sps_id", F.coalesce("asked", F.lit(False)).alias("asked"), F.coalesce("recorded", F.lit(False)).alias("recorded"))
+
+
+@_query()
+def document_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The documents cut into passages."""
+    return chunks.passages(table(spark, d, "documents"), "doc_id", "text")
+
+
+@_query(f"""SELECT part_number AS canonical_part, n_tickets, n_history FROM (SELECT {_part('part_number')} AS part_number, count(*) AS n_tickets FROM incoming_tickets GROUP BY 1)
+    JOIN (SELECT {_part('part_number')} AS part_number, count(*) AS n_history FROM boilerplate_history GROUP BY 1) USING (part_number) WHERE part_number IN (SELECT part_number FROM part_catalog)""")
+def part_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Tickets and history rows of each catalogue part that has both; both sides are counted before they are joined."""
+    count = lambda t, c: table(spark, d, t).groupBy(T.canonical_part(F.col("part_number")).alias("canonical_part")).agg(F.count("*").alias(c))
+    both = count("incoming_tickets", "n_tickets").join(count("boilerplate_history", "n_history"), "canonical_part")
+    return both.join(table(spark, d, "part_catalog").select(F.col("part_number").alias("canonical_part")), "canonical_part", "left_semi")
