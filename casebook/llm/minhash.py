@@ -6,6 +6,7 @@ different sequences of ``words`` consecutive words.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from casebook.storage import materialise
 _MIX64 = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _MIX32 = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
 _BASE = 0x9E3779B97F4A7C15
+_RUNS = re.compile("[a-z0-9]+")
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(97, 123)]] = True
 #: Bytes hashed, and shingles sketched, at a time: small enough for a core's cache.
@@ -120,7 +122,7 @@ def _sketcher(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, pick = np.unique(batch.column("h").to_numpy(zero_copy_only=False), return_index=True)
-            texts = batch.column("norm").take(pa.array(pick)).cast(pa.large_binary())
+            texts = batch.column("text").take(pa.array(pick)).cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
             lo = 0
@@ -137,9 +139,65 @@ def _sketcher(words: int, bands: int, rows: int):
     return run
 
 
+def _bucket_pairs(longest: int):
+    """From rows sorted by band key and class: each bucket's pairs of classes, as (a, b, null).
+
+    A bucket of more than ``longest`` classes isn't paired here; its rows are
+    passed on as (class, null, band).  No more than ``longest`` classes of the
+    bucket at hand are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: list[np.ndarray], b: list[np.ndarray], over_h: list[np.ndarray], over_band: list[np.ndarray]) -> pa.RecordBatch:
+            a, b, h, band = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, over_h, over_band))
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([a, h])), pa.array(np.concatenate([b, h]), mask=np.arange(len(a) + len(h)) >= len(a)),
+                pa.array(np.concatenate([a, band]), mask=np.arange(len(a) + len(h)) < len(a)),
+            ], ["a", "b", "band"])
+
+        held_band, held_h, flooded = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in (*batches, None):
+            if batch is None:
+                band, h = held_band, held_h
+            else:
+                band = np.concatenate([held_band, batch.column("band").to_numpy()])
+                h = np.concatenate([held_h, batch.column("h").to_numpy()])
+            if not len(band):
+                continue
+            fresh = np.ones(len(band), bool)
+            fresh[1:] = (band[1:] != band[:-1]) | (h[1:] != h[:-1])
+            band, h = band[fresh], h[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            sizes = np.diff(np.append(starts, len(band)))
+            a, b, over_h, over_band = [], [], [], []
+            if batch is not None:  # the last bucket may go on in the next batch
+                cut = starts[-1]
+                if sizes[-1] > longest or flooded == band[-1]:
+                    flooded = band[-1]
+                    over_h.append(h[cut:-1])
+                    over_band.append(band[cut:-1])
+                    cut = len(band) - 1
+                held_band, held_h = band[cut:], h[cut:]
+                starts, sizes = starts[:-1], sizes[:-1]
+            ends_flood = (band[starts] == flooded) if flooded is not None else np.zeros(len(starts), bool)
+            big = (sizes > longest) | ends_flood
+            for s, n in zip(starts[big], sizes[big]):
+                over_h.append(h[s : s + n])
+                over_band.append(band[s : s + n])
+            for n in np.unique(sizes[~big & (sizes > 1)]):
+                at = starts[~big & (sizes == n)][:, None]
+                i, j = np.triu_indices(n, 1)
+                a.append(h[at + i].ravel())
+                b.append(h[at + j].ravel())
+            if a or over_h:
+                yield out(a, b, over_h, over_band)
+
+    return run
+
+
 def _verifier(words: int, threshold: float):
     def grams(text: str) -> set[tuple[str, ...]]:
-        w = text.split(" ")
+        w = _RUNS.findall(text)
         return set(zip(*(w[i:] for i in range(words))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,37 +217,37 @@ def _verifier(words: int, threshold: float):
     return run
 
 
-def normal_words(text: Column) -> Column:
-    """The text's words, lower case, with one blank between them; null is empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-
-
-def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, threshold: float = 0.8, bands: int = 28, rows: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, threshold: float = 0.8, bands: int = 28, rows: int = 5, longest: int = 256) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the records of ``df`` whose similarity is ``threshold`` or more.
 
     members (id, h, h2): each record with at least ``words`` words and its
-    class; records with the same words share a class.  links (a, a2, b, b2,
-    similarity): classes, a < b, with the exact Jaccard similarity of their
-    word sequences.  Records with fewer words, null and empty texts among them,
-    have no sequence and are in no class.
+    class; records with the same lower-cased text share a class.  links (a, a2,
+    b, b2, similarity): classes, a < b, with the exact Jaccard similarity of
+    their word sequences.  Records with fewer words, null and empty texts among
+    them, have no sequence and are in no class.
 
     Bands of ``rows`` coordinates only propose links; pick ``bands`` so that
     (1 - threshold ** rows) ** bands is as small as needed.  A class is
-    sketched once a batch of records however many copies it has, and buckets
-    are met by a join on the band key, which Spark splits where it is skewed.
+    sketched once a batch of records however many copies it has.  The classes
+    of a bucket are paired where they lie sorted; those of a bucket of more
+    than ``longest`` classes by a join, which Spark splits where it is skewed.
     """
-    base = df.select(F.col(id_col).alias("id"), normal_words(text).alias("norm"))
-    base = base.where(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= words - 1)
-    base = base.select("id", F.xxhash64("norm").alias("h"), F.hash("norm").alias("h2"), "norm")
+    base = df.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    base = base.where(F.col("text").rlike("[a-z0-9]" + "+[^a-z0-9]+[a-z0-9]" * (words - 1)))
+    base = base.select("id", F.xxhash64("text").alias("h"), F.hash("text").alias("h2"), "text")
     members = materialise(base.select("id", "h", "h2"), "members")
 
-    keys = base.select("h", "norm").mapInArrow(_sketcher(words, bands, rows), "h bigint, bands array<bigint>").select("h", F.explode("bands").alias("band"))
-    left, right = keys.select(F.col("h").alias("a"), "band"), keys.select(F.col("h").alias("b"), "band")
-    met = left.hint("merge").join(right, "band").where("a < b").select("a", "b").distinct()
-    texts = base.groupBy("h", "h2").agg(F.min("norm").alias("text"))
-    texts = texts.repartition("h")
+    keys = base.select("h", "text").mapInArrow(_sketcher(words, bands, rows), "h bigint, bands array<bigint>").select("h", F.explode("bands").alias("band"))
+    met = keys.repartition("band").sortWithinPartitions("band", "h").mapInArrow(_bucket_pairs(longest), "a bigint, b bigint, band bigint").distinct()
+    met = materialise(met, "met")
+    over = met.where("b IS NULL")
+    rest = over.select("a", "band").hint("merge").join(over.select(F.col("a").alias("b"), "band"), "band").where("a < b").select("a", "b")
+    pairs = met.where("b IS NOT NULL").select("a", "b")
+    if not over.isEmpty():
+        pairs = pairs.unionByName(rest).distinct()
+    texts = base.groupBy("h", "h2").agg(F.min("text").alias("text")).repartition("h")
     side = lambda k: texts.select(F.col("h").alias(k), F.col("h2").alias(f"{k}2"), F.col("text").alias(f"text_{k}"))
-    pairs = met.join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     links = pairs.select("a", "a2", "b", "b2", "text_a", "text_b").mapInArrow(_verifier(words, threshold), "a bigint, a2 int, b bigint, b2 int, similarity double")
     return members, links
 
