@@ -18,9 +18,10 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casebook.operators.sums import running_sum
 from casebook.storage import materialise
 
 #: Where the tokenizer's ranks are; a parameter of everything below.
@@ -75,15 +76,6 @@ def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def _running(rows: DataFrame, within: list[str], block: str, order: list[str], amount: str, out: str) -> DataFrame:
-    """``rows`` with the running sum of ``amount`` by block and order, within ``within``; a block is summed up in one task."""
-    inside = Window.partitionBy(*within, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*within).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*within, block).agg(F.sum(amount).alias("__total"))
-    offsets = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
-    return rows.withColumn(out, F.sum(amount).over(inside)).join(offsets, [*within, block]).withColumn(out, F.col(out) + F.col("__before")).drop("__before")
-
-
 def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, block_rows: int = 20_000) -> DataFrame:
     """(place, doc_id, source, copy, tokens, finish): the mixture in its order.
 
@@ -117,13 +109,13 @@ def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, see
     planned = spark.createDataFrame(plan, "source string, weight double, passes bigint, blocks bigint")
     uses = texts.join(_small(planned), "source").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)))
     uses = uses.withColumn("u", F.xxhash64(F.lit(seed), "copy", "doc_id")).withColumn("block", F.col("copy") * F.col("blocks") + F.pmod(F.shiftright("u", 8), "blocks"))
-    queued = _running(uses, ["source"], "block", ["u", "doc_id"], "tokens", "through").withColumn("finish", F.col("through") / F.col("weight"))
+    queued = running_sum(uses, ["source"], "block", ["u", "doc_id"], "tokens", "through").withColumn("finish", F.col("through") / F.col("weight"))
     queued = queued.where(F.col("finish") <= end) if end < math.inf else queued
     queued = materialise(queued.select("doc_id", "source", "copy", "tokens", "finish"), "queued")
     n, last = queued.agg(F.count("*"), F.max("finish")).first()
     slices = max(1, math.ceil(n / block_rows))
     cut = queued.withColumn("slice", F.least(F.floor(F.col("finish") / F.lit(last or 1.0) * slices), F.lit(slices - 1)))
-    placed = _running(cut, [], "slice", ["finish", "source", "doc_id", "copy"], "tokens", "through")
+    placed = running_sum(cut, [], "slice", ["finish", "source", "doc_id", "copy"], "tokens", "through")
     placed = placed.where(F.col("through") <= budget).withColumn("place", F.col("through") - F.col("tokens"))
     return placed.orderBy("finish", "source", "doc_id", "copy").select("place", "doc_id", "source", "copy", "tokens", "finish")
 
