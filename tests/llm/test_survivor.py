@@ -1,0 +1,33 @@
+from datetime import datetime, timezone
+
+from pyspark.sql import functions as F
+
+from casebook.llm.survivor import instant, surviving_fields
+
+
+def test_instants_do_not_depend_on_the_session(spark):
+    cases = {"2024-01-02T03:04:05Z": 3, "2024-01-02 03:04:05": 3, "2024-01-02T03:04:05+02:00": 1, "2024-01-02 03:04:05-05:00": 8, "unknown": None, "": None, None: None, "2024-13-02T03:04:05Z": None, "2024": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for r in df.select("t", instant(F.col("t")).alias("i")).collect():
+                hour = cases[r["t"]]
+                expected = None if hour is None else int(datetime(2024, 1, 2, hour, 4, 5, tzinfo=timezone.utc).timestamp() * 1e6)
+                assert r["i"] == expected, r["t"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_each_field_from_its_row(spark):
+    rows = [
+        ("A", 1, "long enough", 5, 0), ("A", 2, "x", 9, 0), ("A", 3, "long enough too", 5, 0), ("A", 4, None, None, 0),
+        ("B", 5, "x", 1, 0), ("B", 6, None, 2, 0),
+        ("C", 7, "only one row of it", 1, 0),
+        (None, 8, "long enough", 1, 0), (None, 9, "long enough", 1, 0),
+        ("D", 10, "trusted value", None, 1), ("D", 11, "later value", 7, 0), ("D", 11, "later value", 7, 0),
+    ]
+    df = spark.createDataFrame(rows, "k string, id long, v string, at long, t int")
+    got = {r["k"]: (r["n_rows"], r["v_row_id"]) for r in surviving_fields(df, "k", {"v": F.length("v") > 5}, F.col("at"), F.col("t"), "id").collect()}
+    assert got == {"A": (4, 3), "B": (2, None), "D": (3, 10)}
+    assert surviving_fields(df.where("false"), "k", {"v": F.length("v") > 5}, F.col("at"), F.col("t"), "id").count() == 0
