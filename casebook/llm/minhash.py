@@ -27,7 +27,7 @@ _ALNUM[[*range(48, 58), *range(97, 123)]] = True
 _BYTES, _BLOCK = 1 << 18, 1 << 15
 
 
-def _mix64(x: np.ndarray) -> np.ndarray:
+def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX64[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX64[1]
     return x ^ (x >> np.uint64(31))
@@ -36,7 +36,7 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
@@ -59,9 +59,9 @@ def shingle_hashes(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.n
     first = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.concatenate([inside[1:], [False]])
     last = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    power, inverse = _power(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
-    token = _mix64((total[last] - total[first]) * inverse[first])
+    token = mix64((total[last] - total[first]) * inverse[first])
     text_of = np.searchsorted(ends, first, side="right")
     n = len(token) - words + 1
     if n <= 0:
@@ -70,7 +70,7 @@ def shingle_hashes(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.n
     for i in range(words):
         mixed = mixed * np.uint64(_BASE) + token[i : i + n]
     whole = text_of[:n] == text_of[words - 1 :]
-    return (_mix64(mixed[whole]) >> np.uint64(32)).astype(np.uint32), np.bincount(text_of[:n][whole], minlength=len(ends))
+    return (mix64(mixed[whole]) >> np.uint64(32)).astype(np.uint32), np.bincount(text_of[:n][whole], minlength=len(ends))
 
 
 def circulant_signatures(items: np.ndarray, counts: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
@@ -113,7 +113,7 @@ def _band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     for b in range(bands):
         key = np.full(signatures.shape[1], b + 1, np.uint64)
         for r in range(rows):
-            key = _mix64(key * np.uint64(_BASE) + signatures[b * rows + r])
+            key = mix64(key * np.uint64(_BASE) + signatures[b * rows + r])
         out[:, b] = (key >> np.uint64(24)).astype(np.int64)
     return out
 
