@@ -88,3 +88,18 @@ def instant(c: Column) -> Column:
     t = trimmed(c)
     zoned = F.when(t.rlike(r"\d:\d\d.*(Z|[+-]\d\d:?\d\d)$"), t).otherwise(F.concat(t, F.lit("Z")))
     return F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), zoned).try_cast("timestamp")
+
+
+#: The most characters a sheet's cell takes, and what stands at the end of a cut one.
+CELL, CUT = 32_767, " […truncated for Excel]"
+
+
+def cell(c: Column) -> Column:
+    """The text as a sheet's cell takes it: vertical tabs and form feeds as line breaks, no other controls, cut to length."""
+    clean = F.regexp_replace(F.translate(text(c), "\x0b\x0c", "\n\n"), r"[\x00-\x08\x0e-\x1f]", "")
+    return F.when(F.length(clean) > CELL, F.concat(F.substring(clean, 1, CELL - len(CUT)), F.lit(CUT))).otherwise(clean)
+
+
+def numbered(items: Column) -> Column:
+    """The items of an array, each with its place in brackets before it, one a line."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x)), "\n")

@@ -374,3 +374,79 @@ def part_activity(spark: SparkSession, d: str) -> DataFrame:
     count = lambda t, c: table(spark, d, t).groupBy(T.canonical_part(F.col("part_number")).alias("canonical_part")).agg(F.count("*").alias(c))
     both = count("incoming_tickets", "n_tickets").join(count("boilerplate_history", "n_history"), "canonical_part")
     return both.join(table(spark, d, "part_catalog").select(F.col("part_number").alias("canonical_part")), "canonical_part", "left_semi")
+
+
+# ---------------------------------------------------------------- joins and reports
+
+
+@_query(f"""SELECT group_key, count(*) AS n_parts, count(DISTINCT code) AS n_codes FROM (SELECT part_number, {_code(_part('part_number'))} AS code FROM part_catalog) JOIN (WITH {_groups} SELECT * FROM fam) fam ON code = fam.commodity_code GROUP BY 1""")
+def family_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue parts and codes of each family: parts are counted by code before they meet the families."""
+    codes = table(spark, d, "part_catalog").groupBy(T.commodity_code(T.canonical_part(F.col("part_number"))).alias("commodity_code")).agg(F.count("*").alias("n"))
+    known = families.families(families.grouped_codes(table(spark, d, "commodity_groups")))
+    return codes.join(known, "commodity_code").groupBy("group_key").agg(F.sum("n").alias("n_parts"), F.count("*").alias("n_codes"))
+
+
+@_query(f"""WITH own AS (SELECT upper({_trim('sps_id')}) AS sps_id, max(row_id) AS row_id FROM boilerplate_history GROUP BY 1), part AS (SELECT {_part('part_number')} AS p, max(row_id) AS row_id FROM boilerplate_history GROUP BY 1)
+    SELECT ticket_id, coalesce(own.row_id, part.row_id) AS row_id, CASE WHEN own.row_id IS NOT NULL THEN 'own' WHEN part.row_id IS NOT NULL THEN 'part' ELSE 'none' END AS found_by
+    FROM incoming_tickets LEFT JOIN own ON upper({_trim('incoming_tickets.sps_id')}) = own.sps_id AND own.sps_id <> '' LEFT JOIN part ON {_part('incoming_tickets.part_number')} = part.p AND part.p <> ''""")
+def latest_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each ticket's latest history row: under its own id, else of its part.  Both sides are one row a key before the joins."""
+    history = table(spark, d, "boilerplate_history").select("row_id", F.upper(T.trimmed(F.col("sps_id"))).alias("sps"), T.canonical_part(F.col("part_number")).alias("part"))
+    own = history.where("sps <> ''").groupBy("sps").agg(F.max("row_id").alias("own"))
+    part = history.where("part <> ''").groupBy("part").agg(F.max("row_id").alias("of_part"))
+    tickets = table(spark, d, "incoming_tickets").select("ticket_id", F.upper(T.trimmed(F.col("sps_id"))).alias("sps"), T.canonical_part(F.col("part_number")).alias("part"))
+    found = tickets.join(own, "sps", "left").join(part, "part", "left")
+    by = F.when(F.col("own").isNotNull(), "own").when(F.col("of_part").isNotNull(), "part").otherwise("none")
+    return found.select("ticket_id", F.coalesce("own", "of_part").alias("row_id"), by.alias("found_by"))
+
+
+@_query(_placed.format(w="") + """ SELECT ticket_id, string_agg('[' || place || '] ' || sps_id || ' (' || CAST(trunc((score + 1e-6) * 100) AS INT) || '%)', chr(10) ORDER BY place) AS sources FROM best WHERE place <= 3 GROUP BY 1""")
+def source_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Each ticket's three best records as a numbered list."""
+    best = ranking.best_items(_candidates(spark, d), "ticket_id", "sps_id", _order()).where("place <= 3")
+    line = F.concat("sps_id", F.lit(" ("), T.percent(F.col("score")).cast("string"), F.lit("%)"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    return best.groupBy("ticket_id").agg(T.numbered(F.transform(ordered, lambda x: x["line"])).alias("sources"))
+
+
+@_query("""SELECT issue_type, least_match, most_other, round(least_match - most_other, 4) AS margin, least_match > most_other AS separable, round(greatest(least_match - 0.01, 0), 4) AS suggested_gate FROM (
+    SELECT issue_type, min(composite_score) FILTER (WHERE exact_part) AS least_match, max(composite_score) FILTER (WHERE NOT exact_part) AS most_other FROM candidates WHERE NOT isnan(composite_score) GROUP BY 1)""")
+def gate_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """By issue type, whether a gate could tell own-part candidates from others, and which."""
+    rows = table(spark, d, "candidates").where(F.col("composite_score").isNotNull() & ~F.isnan("composite_score"))
+    own, score = F.col("exact_part"), F.col("composite_score")
+    found = rows.groupBy("issue_type").agg(F.min(F.when(own, score)).alias("least_match"), F.max(F.when(~own, score)).alias("most_other"))
+    gate = F.when(F.col("least_match").isNotNull(), F.round(F.greatest(F.col("least_match") - 0.01, F.lit(0.0)), 4))
+    return found.select("*", F.round(F.col("least_match") - F.col("most_other"), 4).alias("margin"), (F.col("least_match") > F.col("most_other")).alias("separable"), gate.alias("suggested_gate"))
+
+
+@_query("""SELECT row_id, CASE WHEN length(t) > 32767 THEN substr(t, 1, 32744) || ' […truncated for Excel]' ELSE t END AS cell FROM (
+    SELECT row_id, regexp_replace(translate(coalesce(problem_description, ''), chr(11) || chr(12), chr(10) || chr(10)), '[\\x00-\\x08\\x0e-\\x1f]', '', 'g') AS t FROM bulk_tickets)""")
+def sheet_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The bulk tickets' problems as a sheet takes them."""
+    return table(spark, d, "bulk_tickets").select("row_id", T.cell(F.col("problem_description")).alias("cell"))
+
+
+@_query("""SELECT lower(trim(coalesce(source, ''))) AS source, count(*) AS n_docs, CAST(sum(('0x' || substr(md5(doc_id || ':' || coalesce(text, '')), 1, 8))::BIGINT) AS BIGINT) AS digest FROM documents GROUP BY 1""")
+def corpus_digests(spark: SparkSession, d: str) -> DataFrame:
+    """A number for each source that changes with any of its documents, in whatever order they are read."""
+    one = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), T.text(F.col("text")))), 1, 8), 16, 10).cast("bigint")
+    return table(spark, d, "documents").groupBy(F.lower(F.trim(T.text(F.col("source")))).alias("source")).agg(F.count("*").alias("n_docs"), F.sum(one).alias("digest"))
+
+
+@_query(f"""SELECT ticket_id, first_ticket FROM (SELECT ticket_id, min(ticket_id) OVER (PARTITION BY s, p, t) AS first_ticket FROM (
+    SELECT ticket_id, upper({_trim('sps_id')}) AS s, {_part('part_number')} AS p, {_flat('problem_description')} AS t FROM incoming_tickets)) WHERE ticket_id <> first_ticket""")
+def repeated_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Tickets that an earlier one repeats: same id, part and problem.  Keys are counted first; only repeated ones are joined back."""
+    rows = table(spark, d, "incoming_tickets").select("ticket_id", F.xxhash64(F.upper(T.trimmed(F.col("sps_id"))), T.canonical_part(F.col("part_number")), T.collapsed(F.col("problem_description"))).alias("key"))
+    first = rows.groupBy("key").agg(F.min("ticket_id").alias("first_ticket"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, "key").where("ticket_id <> first_ticket").select("ticket_id", "first_ticket")
+
+
+@_query(f"""SELECT lower(trim(coalesce(issue_type, ''))) AS issue_type, count(*) AS n_rows, count(*) FILTER (WHERE {_trim('problem_description')} <> '') AS n_with_vector FROM boilerplate_history GROUP BY 1""")
+def vector_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many history rows find their text's vector, by issue type."""
+    rows = table(spark, d, "boilerplate_history").select(F.lower(F.trim(T.text(F.col("issue_type")))).alias("issue_type"), T.text_key(T.trimmed(F.col("problem_description"))).alias("text_key"))
+    vectors = problem_vectors(spark, d).select("text_key", F.lit(True).alias("there"))
+    return rows.join(vectors, "text_key", "left").groupBy("issue_type").agg(F.count("*").alias("n_rows"), F.count("there").alias("n_with_vector"))

@@ -90,3 +90,30 @@ def test_header_map():
     assert header_map(["SPS ID", "Part-Number", "Problem", "Solution_Text", "part_number"])["part_number"] == "Part-Number"
     with pytest.raises(MissingColumns, match="solution_text"):
         header_map(["sps_id", "partno", "problem"])
+
+
+def test_model_calls_isolate_failures(spark):
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    from casebook.operators.models import accepted, called
+
+    def factory():
+        def client(rows):
+            return [{"intent": 100 // r["n"] if r["n"] < 50 else 300} for r in rows]
+
+        return client
+
+    df = spark.createDataFrame([(n,) for n in (1, 2, 0, 4, 60)], "n int").coalesce(1)
+    got = called(df, factory, StructType([StructField("intent", IntegerType())]), batch_rows=3)
+    rows = {r["n"]: (r["intent"], r["error"] and r["error"].split(":")[0]) for r in got.collect()}
+    assert rows == {1: (100, None), 2: (50, None), 0: (None, "ZeroDivisionError"), 4: (25, None), 60: (300, None)}
+    assert sorted((r["n"], r["intent"]) for r in accepted(got, 50).collect()) == [(1, 100), (2, 50), (60, 100)]
+
+
+def test_cells_and_lists(spark):
+    from casebook.functions import text as T
+
+    df = spark.createDataFrame([("a\x0bb\x00c\td",), (None,), ("x" * 40_000,)], "t string")
+    cells = [r[0] for r in df.select(T.cell(F.col("t"))).collect()]
+    assert cells[:2] == ["a\nbc\td", ""] and len(cells[2]) == T.CELL and cells[2].endswith(T.CUT)
+    assert df.limit(1).select(T.numbered(F.array(F.lit("a"), F.lit("b")))).first()[0] == "[1] a\n[2] b"
