@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,9 +36,13 @@ def floor_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
     return placed.groupBy(group).agg(F.max("n").alias("n"), *(F.max(F.when(hit(f), F.col("v"))).alias(name) for name, f in shares.items()))
 
 
-def longest_runs(df: DataFrame, group: str, order: list[str], hit) -> DataFrame:
-    """(group, longest_run): the most rows in a row, in ``order``, for which ``hit`` holds; 0 if none."""
-    by = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("__hit", F.coalesce(hit, F.lit(False))).withColumn("__island", F.count_if(~F.col("__hit")).over(by))
-    runs = marked.groupBy(group, "__island").agg(F.count_if("__hit").alias("run"))
+def longest_runs(df: DataFrame, group: str, block: str, order: list[str], hit: Column) -> DataFrame:
+    """(group, longest_run): the most rows in a row, in ``order``, for which ``hit`` holds; 0 if none, null hits being none.
+
+    ``block`` is a column that follows the order (a day for times), by which a
+    group is spread over tasks.
+    """
+    marked = df.select(F.col(group), F.col(block).alias("__block"), *order, F.coalesce(hit, F.lit(False)).alias("__hit"))
+    marked = marked.withColumn("__miss", (~F.col("__hit")).cast("bigint"))
+    runs = running_sum(marked, [group], "__block", order, "__miss", "__island").groupBy(group, "__island").agg(F.count_if("__hit").alias("run"))
     return runs.groupBy(group).agg(F.max("run").alias("longest_run"))

@@ -51,8 +51,11 @@ def test_percentiles_and_running_sums(spark):
 
 def test_longest_runs(spark):
     rows = [("a", i, t) for i, t in enumerate("eexeeexx")] + [("b", 1, "x"), ("c", 1, None), ("c", 2, "e")]
-    got = {r["u"]: r["longest_run"] for r in sums.longest_runs(spark.createDataFrame(rows, "u string, i int, t string"), "u", ["i"], F.col("t") == "e").collect()}
-    assert got == {"a": 3, "b": 0, "c": 1}
+    df = spark.createDataFrame(rows, "u string, i int, t string")
+    for width in (100, 2, 1):
+        blocks = df.withColumn("b", F.floor(F.col("i") / width))
+        got = {r["u"]: r["longest_run"] for r in sums.longest_runs(blocks, "u", "b", ["i"], F.col("t") == "e").collect()}
+        assert got == {"a": 3, "b": 0, "c": 1}
 
 
 def test_counters_with_nulls(spark):
