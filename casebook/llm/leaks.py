@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # A word: letters and digits, with unseen characters and combining marks inside it.
 _UNSEEN = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff"
@@ -153,6 +154,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """
     spark = docs.sparkSession
     found = None
+    item_kind = items.schema[item_id].dataType
+    item_type = to_arrow_type(item_kind)
     for block in _blocks(items, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(block)
 
@@ -171,10 +174,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                     which += n
                     words += n.values()
                 share = [min(1.0, w / automaton.sizes[k]) for w, k in zip(words, which)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(which, pa.int64()), pa.array(words, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "n_words", "coverage"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(which, item_type), pa.array(words, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "n_words", "coverage"])
 
         kind = docs.schema[doc_id].dataType.simpleString()
-        part = docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(run, f"doc_id {kind}, item_id bigint, n_words bigint, coverage double")
+        part = docs.select(doc_id, text).where(F.col(text).isNotNull()).mapInArrow(run, f"doc_id {kind}, item_id {item_kind.simpleString()}, n_words bigint, coverage double")
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -94,10 +94,11 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     trust = F.col("part_number").rlike(r"^\p{Lu}?[A-Z0-9]+[-/._][A-Z0-9]+$").cast("int")
     best = survivor.surviving_fields(rows, "sps_id", fields, F.col("modified"), F.coalesce(trust, F.lit(0)), "row_id", min_rows=1)
     names = {"part": "part_number", "issue": "issue_type", "problem": "problem_description", "solution": "solution_text", "date": "last_modified_date"}
-    chosen = best.select("sps_id", "n_rows", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"{k}_row_id").alias("row_id")) for k in names))).alias("c"))
-    chosen = chosen.select("sps_id", "n_rows", "c.field", F.coalesce("c.row_id", F.lit(-1)).alias("row_id"))
-    values = chosen.join(rows.select("row_id", *names.values()), "row_id", "left")
-    return values.groupBy("sps_id", "n_rows").agg(*(F.max(F.when(F.col("field") == k, F.col(c))).alias(c) for k, c in names.items()))
+    chosen = best.select("sps_id", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"{k}_row_id").alias("row_id")) for k in names))).alias("c"))
+    chosen = chosen.select("sps_id", "c.*").where("row_id IS NOT NULL")
+    values = chosen.join(rows.select("row_id", *names.values()), "row_id")
+    fields_of = values.groupBy("sps_id").agg(*(F.max(F.when(F.col("field") == k, F.col(c))).alias(c) for k, c in names.items()))
+    return best.select("sps_id", "n_rows").join(fields_of, "sps_id", "left")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -29,10 +29,11 @@ def surviving_fields(df: DataFrame, key: str, fields: dict[str, Column], recency
     of each (key, field), which Spark does before the shuffle as well, so that
     a key with very many rows sends one row a partition.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= min_rows)
+    named = df.where(F.col(key).isNotNull())
+    counts = named.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= min_rows)
     offers = F.array_compact(F.array(*(F.when(ok, F.lit(name)) for name, ok in fields.items())))
-    rows = df.where(F.col(key).isNotNull()).select(key, F.explode(offers).alias("field"), trust.alias("trust"), recency.alias("recency"), F.col(row_id).alias("row"))
-    best = Window.partitionBy(key, "field").orderBy(F.desc_nulls_last("trust"), F.desc_nulls_last("recency"), F.desc_nulls_last("row"))
+    rows = named.select(F.col(key).alias("__key"), F.explode(offers).alias("field"), trust.alias("trust"), recency.alias("recency"), F.col(row_id).alias("row"))
+    best = Window.partitionBy("__key", "field").orderBy(F.desc_nulls_last("trust"), F.desc_nulls_last("recency"), F.desc_nulls_last("row"))
     first = rows.withColumn("place", F.row_number().over(best)).where("place = 1")
-    wide = first.groupBy(key).agg(*(F.max(F.when(F.col("field") == name, F.col("row"))).alias(f"{name}_row_id") for name in fields))
-    return counts.join(wide, key, "left")
+    wide = first.groupBy("__key").agg(*(F.max(F.when(F.col("field") == name, F.col("row"))).alias(f"{name}_row_id") for name in fields))
+    return counts.join(wide, "__key", "left").withColumnRenamed("__key", key)

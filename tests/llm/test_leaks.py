@@ -47,6 +47,8 @@ def test_leaked_items(spark):
     for block in (8_000_000, 50):
         got = sorted((r["doc_id"], r["item_id"], r["n_words"]) for r in leaks.leaked_items(docs, items, block_chars=block).collect())
         assert got == [("a", 1, 15), ("a", 6, 15), ("e", 1, 30), ("e", 1, 30), ("e", 2, 15), ("e", 2, 15), ("e", 6, 30), ("e", 6, 30)]
+    named = items.selectExpr("concat('item ', item_id) AS item_id", "text")
+    assert {r["item_id"] for r in leaks.leaked_items(docs, named).collect()} == {"item 1", "item 2", "item 6"}
     assert leaks.leaked_items(docs.where("false"), items).count() == 0
     assert leaks.leaked_items(docs, items.where("false")).count() == 0
 

@@ -31,3 +31,8 @@ def test_each_field_from_its_row(spark):
     got = {r["k"]: (r["n_rows"], r["v_row_id"]) for r in surviving_fields(df, "k", {"v": F.length("v") > 5}, F.col("at"), F.col("t"), "id").collect()}
     assert got == {"A": (4, 3), "B": (2, None), "D": (3, 10)}
     assert surviving_fields(df.where("false"), "k", {"v": F.length("v") > 5}, F.col("at"), F.col("t"), "id").count() == 0
+
+
+def test_key_with_a_name_used_inside(spark):
+    df = spark.createDataFrame([("A", 1, "long enough"), ("A", 2, "x")], "field string, row long, place string")
+    assert [tuple(r) for r in surviving_fields(df, "field", {"trust": F.length("place") > 5}, F.lit(0), F.lit(0), "row").collect()] == [("A", 2, 1)]
