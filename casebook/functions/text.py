@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space in Unicode's sense, with the four information separators.
-BLANKS = r"(?U)[\s\x1c-\x1f]+"
+#: White space in Unicode's sense, with the four information separators, and a pattern for a run of it.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def text(c: Column) -> Column:
@@ -21,7 +22,7 @@ def strip_invisible(c: Column) -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(text(c), F.lit(WHITE))
 
 
 def collapsed(c: Column) -> Column:
@@ -69,7 +70,7 @@ def words(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """The sentences: cut behind a full stop, an exclamation or a question mark that white space follows."""
     flat = trimmed(c)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"))
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, r"(?<=[.!?])" + BLANKS))
 
 
 def tokens(c: Column) -> Column:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebook.functions.text import trimmed
+
 #: The fields of the exports.
 LAYOUTS = {
     "bulk_tickets": ("SPS_ID", "Part_Number", "Issue_Type", "Problem_Description", "Supplier"),
@@ -213,7 +215,7 @@ def loaded(parsed: DataFrame, feed: str, layouts: dict[str, tuple[str, ...]] = L
     for i, name in enumerate(layouts[feed]):
         value = F.col("fields")[i]
         if name == "Part_Number":
-            value = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+            value = F.when(value.isNotNull(), trimmed(value))
         if name == "Last_Modified_Date":
             value = value.try_cast("timestamp")
         columns.append(value.alias(name.lower()))

@@ -160,7 +160,7 @@ def solution_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_groups} SELECT group_key, group_name, list_sort(list(commodity_code)) AS members FROM fam JOIN names USING (group_key) GROUP BY 1, 2")
 def commodity_families(spark: SparkSession, d: str) -> DataFrame:
-    return families.family_members(families.grouped_codes(table(spark, d, "commodity_groups")))
+    return families.family_members(table(spark, d, "commodity_groups"))
 
 
 @_query(f"WITH {_groups} SELECT * FROM twice")

@@ -11,7 +11,7 @@ from casebook.sources.headers import MissingColumns, header_map
 def test_families_conflicts_and_scopes(spark):
     groups = spark.createDataFrame([("ab1", "Lids "), ("AB2", "lids"), ("AB2", "Lids"), ("X1", "Lids"), ("x1", "Springs"), ("", "Lids"), ("Y", None), (None, " ")], "commodity_code string, group_name string")
     codes = families.grouped_codes(groups)
-    assert [(r["group_key"], r["members"]) for r in families.family_members(codes).collect()] == [("lids", ["AB1", "AB2"])]
+    assert [(r["group_key"], r["members"]) for r in families.family_members(groups).collect()] == [("lids", ["AB1", "AB2"])]
     assert [tuple(r) for r in families.conflicts(codes).collect()] == [("X1", ["lids", "springs"])]
     parts = spark.createDataFrame([(1, "ab1-7"), (2, "X1-7"), (3, "Q-1"), (4, "777"), (5, "--"), (6, None)], "id int, part_number string")
     got = {r["id"]: (r["scope_kind"], r["scope"]) for r in families.with_scope(parts, codes).collect()}
