@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.functions.text import trimmed
 from casebook.llm import leaks, minhash, mixing, quality, survivor, topn, unify
 from casebook.storage import materialise, table
 
@@ -70,11 +71,11 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _exports(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "boilerplate_history")
-    return rows.withColumn("sps_id", F.nullif(F.upper(F.regexp_replace("sps_id", r"(?U)^\s+|\s+$", "")), F.lit("")))
+    return rows.withColumn("sps_id", F.nullif(F.upper(trimmed(F.col("sps_id"))), F.lit("")))
 
 
 def _long(column: str, least: int) -> F.Column:
-    return F.length(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")) >= least
+    return F.length(trimmed(F.col(column))) >= least
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -173,8 +173,6 @@ def match_catalogue(typed: DataFrame, catalogue: DataFrame, column: str) -> Data
     smallest is taken.
     """
     plain = lambda c: F.upper(F.translate(c, " \t", ""))
-    forms = canonical_dictionary(typed.select(column).unionByName(catalogue.select(column)), column)
-    parts = forms.join(catalogue.select(F.col(column).alias("text")).distinct(), "text", "left_semi")
-    parts = parts.where("canonical <> ''").groupBy("canonical").agg(F.min("text").alias("part"))
-    looks = forms.join(parts, "canonical")
+    parts = canonical_dictionary(catalogue, column).where("canonical <> ''").groupBy("canonical").agg(F.min("text").alias("part"))
+    looks = canonical_dictionary(typed, column).join(parts, "canonical")
     return looks.where(plain(F.col("text")) != plain(F.col("part"))).select("text", "part")
