@@ -140,11 +140,13 @@ def canonical_dictionary(texts: DataFrame, column: str, fold_case: bool = True)
     points = odd.select("key", F.posexplode(F.split("text", "")).alias("pos", "point"))
     known = spark.createDataFrame(code_point_rows(), f"point string, seq {SEQUENCE}")
     replaced = points.join(F.broadcast(known), "point", "left").withColumn("seq", F.coalesce("seq", F.array(F.struct(F.col("point").alias("c"), F.lit(0).alias("k")))))
-    units = replaced.select("key", "pos", F.posexplode("seq").alias("sub", "u")).select("key", "pos", "sub", case(F.col("u.c")).alias("c"), "u.k")
-    run = Window.partitionBy("key").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    units = replaced.select("key", "pos", F.posexplode("seq").alias("sub", "u"))
+    # a letter may have a capital of several
+    units = units.select("key", "pos", "sub", "u.k", F.posexplode(F.split(case(F.col("u.c")), "")).alias("part", "c")).where("c <> ''")
+    run = Window.partitionBy("key").orderBy("pos", "sub", "part").rowsBetween(Window.unboundedPreceding, 0)
     parts = units.withColumn("seg", F.count_if(F.col("k") == 0).over(run))
     starter = F.max(F.when(F.col("k") == 0, F.col("c"))).alias("starter")
-    marks = F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("k", "pos", "sub", "c")))).alias("marks")
+    marks = F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("k", "pos", "sub", "part", "c")))).alias("marks")
     segments = parts.groupBy("key", "seg").agg(starter, marks)
     letters = spark.createDataFrame(composition_rows(), "starter string, letters map<string,string>")
     pieces = segments.join(F.broadcast(letters), "starter", "left").select("key", F.struct("seg", _recompose(F.col("starter"), F.col("marks"), F.col("letters")).alias("piece")).alias("p"))

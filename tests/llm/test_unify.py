@@ -1,9 +1,6 @@
+import random
 import unicodedata
 
-import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
-
 from casebook.llm import unify
 
 
@@ -37,9 +34,12 @@ def test_null_empty_unseen_long_and_repeated(spark):
     assert unify.unify_text(df.where("false"), "t").count() == 0
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(st.text(st.characters(codec="utf-8", min_codepoint=0xA0, max_codepoint=0x24F) | st.sampled_from("aeoụ̧́̈̌"), min_size=1, max_size=8), min_size=60, max_size=60))
-def test_agrees_with_unicode_normalisation(spark, texts):
+def test_agrees_with_unicode_normalisation(spark):
+    random.seed(12)
+    # without the letter that got a capital after this Python's version of Unicode, and the micro sign, whose capital is a look-alike
+    letters = [*map(chr, {*range(0xA0, 0x250)} - {0x19B, 0xB5}), *"aeou" * 20, *"\u0323\u0327\u0301\u0308\u030c\u0302" * 20]
+    texts = ["".join(random.choice(letters) for _ in range(random.randrange(1, 9))) for _ in range(3000)]
+
     def expected(t):
         seen = "".join(c for x in t for c in unicodedata.normalize("NFKD" if unicodedata.decomposition(x)[:8] in ("<compat>", "<noBreak") else "NFD", x) if unicodedata.category(c)[0] not in "ZC")
         return unicodedata.normalize("NFC", "".join(c.upper() for c in unicodedata.normalize("NFD", seen)))
@@ -62,6 +62,3 @@ def test_tables_come_from_rules():
     assert "²" not in rows and "가" not in rows
     assert len(unify.LOOK_ALIKES) < 200
 
-
-if __name__ == "__main__":
-    pytest.main([__file__])
