@@ -64,8 +64,8 @@ def nearest_in_scope(
     A scope's rows are dealt to buckets of about ``bucket_rows`` and its
     queries to blocks of about ``block_queries``, so that no task holds a whole
     scope however large.  A bucket and a block give the k best items of each
-    query; a window over those gives the result.  Scopes without a query are
-    not shuffled with their contents.
+    query; a window over those gives the result.  Scopes without a query end at
+    the first join.
     """
     asked = queries.where(F.col("scope").isNotNull()).groupBy("scope").agg(F.count("*").alias("__nq"))
     sizes = rows.join(asked, "scope").groupBy("scope").agg(F.count("*").alias("__nr"), F.first("__nq").alias("__nq"))
