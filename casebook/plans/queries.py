@@ -270,8 +270,8 @@ _jaccard = "len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct({a} || {b}
 
 @_query(f"""WITH {_search}, top AS (SELECT best.*, problem AS asked FROM best JOIN asked USING (ticket_id) WHERE place <= 5 AND score >= 0.3),
     scored AS (SELECT top.*, usable.solution, CAST(floor(100 * {_jaccard.format(a=_tok('asked'), b=_tok('usable.problem'))} + 0.5) AS INT) AS intent FROM top JOIN usable USING (row_id)),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY intent DESC, exact DESC, score DESC, sps_id DESC) AS solution_rank FROM scored WHERE intent >= 75)
-    SELECT ticket_id, solution_rank, sps_id, CAST(trunc((score + 1e-6) * 100) AS INT) AS confidence, intent, exact AS exact_part, solution AS solution_text FROM placed WHERE solution_rank <= 3""")
+    placed AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY intent DESC, exact DESC, score DESC, sps_id DESC) AS solution_rank FROM scored WHERE intent >= {resolve.INTENT})
+    SELECT ticket_id, solution_rank, sps_id, CAST(trunc((score + 1e-6) * 100) AS INT) AS confidence, intent, exact AS exact_part, solution AS solution_text FROM placed WHERE solution_rank <= {resolve.ANSWERS}""")
 def resolve_tickets(spark: SparkSession, d: str) -> DataFrame:
     """Up to three verbatim, recorded solutions for each ticket whose id is divisible by 20."""
     tickets = table(spark, d, "incoming_tickets").where(F.col("ticket_id") % 20 == 0)
