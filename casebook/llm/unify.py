@@ -65,16 +65,16 @@ def _decompose(c: str) -> str:
 def code_point_rows() -> list[tuple[str, list[tuple[str, int]]]]:
     """(code point, what replaces it with combining classes) wherever that isn't the code point itself with class 0.
 
-    About 10,000 rows, as many as Unicode has such code points.  Hangul
-    syllables stay composed.
+    As many as Unicode has such code points, fewer than 10,000.  Hangul
+    syllables stay composed, and private and unassigned code points as they are.
     """
     rows = []
-    for n in range(0x80, 0x110000):
-        if 0xD800 <= n < 0xE000 or n in HANGUL:
+    for n in (*range(0x80, 0x30000), *range(0xE0000, 0xE1000)):
+        if n in HANGUL:
             continue
         c = chr(n)
         kind = unicodedata.category(c)
-        if kind == "Cn" and n not in UNSEEN:
+        if kind in ("Cn", "Co", "Cs") and n not in UNSEEN:
             continue
         if kind in ("Cf", "Cc") or kind[0] == "Z" or n in UNSEEN:
             rows.append((c, []))
