@@ -253,7 +253,7 @@ def fit_mixture(statistics: DataFrame, examples: DataFrame, rounds: int = 12, to
     """Fit the mixture to all documents by expectation-maximization; also each component's kind.
 
     Each round is one job: partitions sum their documents' shares, Spark adds
-    the sums up, and the driver gets some 2,800 numbers whatever the input.
+    the sums up, and the driver gets some 3,100 numbers whatever the input.
     ``examples`` (kind and the statistics) gives the first means; afterwards
     each component takes the kind that has the largest share of examples in it.
     """
