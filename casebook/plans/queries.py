@@ -363,8 +363,8 @@ def record_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def document_passages(spark: SparkSession, d: str) -> DataFrame:
-    """The documents cut into passages."""
-    return chunks.passages(table(spark, d, "documents"), "doc_id", "text")
+    """The documents cut into passages: all their words, but for documents with fewer than 12."""
+    return chunks.passages(table(spark, d, "documents"), "doc_id", "text", across=True)
 
 
 @_query(f"""SELECT part_number AS canonical_part, n_tickets, n_history FROM (SELECT {_part('part_number')} AS part_number, count(*) AS n_tickets FROM incoming_tickets GROUP BY 1)

@@ -79,6 +79,30 @@ def test_passages_stay_within_sections(spark):
     assert [(r["section"], r["chunk"], r["n_words"]) for r in rows] == [(0, 0, 14), (2, 1, 350), (2, 2, 50)]
 
 
+def test_all_words_come_out_across_blank_lines(spark):
+    random.seed(4)
+    sections = lambda: [" ".join(random.choice(["lid", "box.", "nut"]) for _ in range(random.choice([1, 3, 11, 40, 200, 340, 349, 400, 900]))) for _ in range(random.randrange(1, 9))]
+    texts = {i: "\n\n".join(sections()) for i in range(200)} | {200: "a short line\n\n" + "word " * 400 + "\n \nclosing line", 201: "only five words in all", 202: None}
+    rows = chunks.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", across=True).orderBy("doc_id", "chunk").collect()
+    for i, text in texts.items():
+        words = (text or "").split()
+        mine = [r for r in rows if r["doc_id"] == i]
+        assert [w for r in mine for w in r["passage"].split()] == (words if len(words) >= 12 else [])
+        assert all(12 <= r["n_words"] <= 350 + 22 for r in mine) and [r["chunk"] for r in mine] == list(range(len(mine)))
+    # a short paragraph stands with its neighbours, on its own line
+    two = list(chunks.packed_parts([(0, "one two", None), (1, "w " * 30, None), (2, "end", None)], 300, 350, 12))
+    assert [(s, p.split("\n")[0], p.split("\n")[-1]) for s, p in two] == [(0, "one two", "end")]
+
+
+def test_document_passages_lose_no_words(spark, tmp_path):
+    from casebook.plans import queries
+
+    text = "A heading\n\n" + "One sentence of six words here. " * 60 + "\n\n- first item\n\n- second item\n\nThe end."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.queries()["document_passages"](spark, str(tmp_path)).orderBy("chunk").collect()
+    assert [w for r in rows for w in r["passage"].split()] == text.split()
+
+
 def test_vectors_once_a_text(spark):
     df = spark.createDataFrame([("a lid",), (" a lid ",), ("",), (None,), ("a box",)], "t string")
     texts = textvectors.distinct_texts(df, "t")
