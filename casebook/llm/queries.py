@@ -86,14 +86,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Each sps_id's surviving record, built field by field; a badly written part number yields to a well written one."""
+    """Each sps_id's surviving record, built field by field from its latest row; only the part number yields to a better written one."""
     rows = _exports(spark, d).withColumn("modified", survivor.instant(F.col("last_modified_date")))
     fields = {
         "part": F.length(F.trim("part_number")) > 0, "issue": F.length(F.trim("issue_type")) > 0,
         "problem": _long("problem_description", 10), "solution": _long("solution_text", 15), "date": F.col("modified").isNotNull(),
     }
     trust = F.col("part_number").rlike(r"^\p{Lu}?[A-Z0-9]+[-/._][A-Z0-9]+$").cast("int")
-    best = survivor.surviving_fields(rows, "sps_id", fields, F.col("modified"), F.coalesce(trust, F.lit(0)), "row_id", min_rows=1)
+    best = survivor.surviving_fields(rows, "sps_id", fields, F.col("modified"), {"part": F.coalesce(trust, F.lit(0))}, "row_id", min_rows=1)
     names = {"part": "part_number", "issue": "issue_type", "problem": "problem_description", "solution": "solution_text", "date": "last_modified_date"}
     chosen = best.select("sps_id", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"{k}_row_id").alias("row_id")) for k in names))).alias("c"))
     chosen = chosen.select("sps_id", "c.*").where("row_id IS NOT NULL")
