@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casebook.functions import gates
@@ -231,11 +231,8 @@ def _as_given(vectors: list) -> np.ndarray:
 _dot = "greatest(0.0, least(1.0, list_inner_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_inner_product(r.embedding::DOUBLE[], r.embedding::DOUBLE[]))))"
 
 
-@_query(f"""SELECT query_id, row_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id::VARCHAR DESC) AS place FROM (
-    SELECT q.vec_id AS query_id, r.vec_id AS row_id, round({_dot}, 6) AS score FROM embeddings q JOIN embeddings r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)) WHERE place <= 5 AND score >= 0.1""")
-def nearest_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest vectors of the same label, for every vector whose id is divisible by 20."""
-    vectors = lambda name: table(spark, d, "embeddings").select(F.col("vec_id").alias(name), F.col("label").cast("string").alias("scope"), F.lit(None).cast("string").alias("own"), F.col("embedding").alias("content"))
+def _nearest_embeddings(spark: SparkSession, d: str, scope: Column) -> DataFrame:
+    vectors = lambda name: table(spark, d, "embeddings").select(F.col("vec_id").alias(name), scope.alias("scope"), F.lit(None).cast("string").alias("own"), F.col("embedding").alias("content"))
     asked = vectors("query_id").where(F.col("query_id") % 20 == 0)
     given = vectors("row_id").withColumn("item", F.col("row_id").cast("string"))
     found = nearest_in_scope(asked, given, _as_given, 6, 0.1).where(F.col("query_id") != F.col("row_id"))
@@ -243,6 +240,20 @@ def nearest_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6)).withColumn("place", order).where("place <= 5").select("query_id", "row_id", "score", "place")
 
 
+@_query(f"""SELECT query_id, row_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id::VARCHAR DESC) AS place FROM (
+    SELECT q.vec_id AS query_id, r.vec_id AS row_id, round({_dot}, 6) AS score FROM embeddings q JOIN embeddings r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)) WHERE place <= 5 AND score >= 0.1""")
+def nearest_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of the same label, for every vector whose id is divisible by 20."""
+    return _nearest_embeddings(spark, d, F.col("label").cast("string"))
+
+
+@_query(f"""SELECT query_id, row_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id::VARCHAR DESC) AS place FROM (
+    SELECT q.vec_id AS query_id, r.vec_id AS row_id, round({_dot}, 6) AS score FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)) WHERE place <= 5 AND score >= 0.1""")
+def nearest_embeddings_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of any label, for every vector whose id is divisible by 20."""
+    return _nearest_embeddings(spark, d, F.lit("all"))
+
+
 _tok = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
 _search = f"""{_groups}, {_usable}, {_scoped},
     asked AS (SELECT ticket_id, part, scope, problem FROM (SELECT *, {_flat("regexp_replace(coalesce(problem_description, ''), '\\p{Cf}', '', 'g')")} AS problem FROM {_scope('incoming_tickets')})
@@ -278,6 +289,13 @@ def resolve_tickets(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolved(tickets, table(spark, d, "boilerplate_history"), table(spark, d, "commodity_groups"))
 
 
+@_query()
+def ticket_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar passages, among those of all documents, of each ticket whose id is divisible by 20."""
+    tickets = table(spark, d, "incoming_tickets").where(F.col("ticket_id") % 20 == 0)
+    return resolve.nearest_passages(tickets, document_passages(spark, d))
+
+
 # ---------------------------------------------------------------- ranking and tallies
 
 _clean = "SELECT *, least(greatest(composite_score, 0.0), 1.0) AS score, coalesce(exact_part, false) AS exact FROM candidates WHERE NOT isnan(composite_score) AND sps_id IS NOT NULL"

@@ -12,6 +12,8 @@ from casebook.operators.search import hashed_counts, nearest_in_scope
 #: Production parameters: the least cosine, the shortlist, the least intent in percent, the answers a ticket gets.
 #: Intent is the Jaccard similarity of the tokens here, for which 30 is far; a model that scores intent itself wants 75.
 GATE, SHORTLIST, INTENT, ANSWERS = 0.30, 5, 30, 3
+#: The second tier's: the least cosine of a passage, and the passages that a ticket gets.
+PASSAGE_GATE, PASSAGES = 0.35, 5
 
 
 def usable_history(history: DataFrame, least: int = 15) -> DataFrame:
@@ -41,6 +43,27 @@ def shortlisted(tickets: DataFrame, history: DataFrame, groups: DataFrame, k: in
     return nearest_in_scope(asked, rows, hashed_counts, k, least)
 
 
+def nearest_passages(tickets: DataFrame, passages: DataFrame, k: int = PASSAGES, least: float = PASSAGE_GATE, bucket_rows: int = 2_000) -> DataFrame:
+    """(ticket_id, doc_id, chunk, score, place): each ticket's ``k`` most similar passages of the corpus, by exact cosine, from ``least`` on.
+
+    ``passages`` (doc_id, chunk, passage).  There is one scope for all: every
+    ticket meets every passage.  A ticket's issue type stands before its
+    problem, a document's id before its passage.  Ties go to the smaller doc_id
+    and chunk.
+    """
+    issue = trimmed(F.col("issue_type"))
+    query = F.concat(F.when(issue != "", F.concat(F.lit("Issue Type: "), issue, F.lit(" | "))).otherwise(""), F.lit("Defect: "), "problem")
+    asked = askable_tickets(tickets).select(F.col("ticket_id").alias("query_id"), F.lit("all").alias("scope"), F.lit(None).cast("string").alias("own"), query.alias("content"))
+    content = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] \n"), "passage")
+    # larger items go first among equals: they count down from the largest id, so that the first passages do
+    down = lambda c, most: F.lpad((F.lit(str(most)).cast("decimal(20,0)") - F.col(c).cast("decimal(20,0)")).cast("string"), 20, "0")
+    item = F.concat(down("doc_id", 2**63 - 1), F.lit(":"), down("chunk", 2**31 - 1))
+    given = passages.select(F.col("doc_id").alias("row_id"), F.lit("all").alias("scope"), F.lit(None).cast("string").alias("own"), item.alias("item"), content.alias("content"))
+    found = nearest_in_scope(asked, given, hashed_counts, k, least, bucket_rows)
+    chunk = (F.lit(2**31 - 1) - F.substring_index("item", ":", -1).cast("bigint")).cast("int")
+    return found.select(F.col("query_id").alias("ticket_id"), F.col("row_id").alias("doc_id"), chunk.alias("chunk"), "score", "place")
+
+
 def resolved(tickets: DataFrame, history: DataFrame, groups: DataFrame) -> DataFrame:
     """(ticket_id, solution_rank, sps_id, confidence, intent, exact_part, solution_text): up to three verbatim answers a ticket.
 

@@ -27,3 +27,28 @@ def test_entry(spark):
 def test_streamed_vectors_are_those_of_one_pass(spark, small):
     key = lambda name: sorted((r["text_key"], tuple(r["vec"])) for r in queries.queries()[name](spark, small).select("text_key", "vec").collect())
     assert key("streamed_vectors") == key("problem_vectors")
+
+
+@pytest.mark.parametrize("bucket_rows", [2_000, 7])
+def test_tickets_meet_every_passage(spark, small, bucket_rows):
+    from casebook.operators.search import cosine, hashed_counts
+    from casebook.plans import resolve
+    from casebook.storage import table
+
+    passages = queries.document_passages(spark, small)
+    known = sorted((r["doc_id"], r["chunk"], r["passage"]) for r in passages.collect())
+    tickets = table(spark, small, "incoming_tickets")
+    asked = [(r["ticket_id"], (r["issue_type"] or "").strip(), r["problem"]) for r in resolve.askable_tickets(tickets).collect()]
+    scores = cosine(hashed_counts([f"Issue Type: {i} | Defect: {p}" if i else f"Defect: {p}" for _, i, p in asked]), hashed_counts([f"[{d}] \n{p}" for d, _, p in known]))
+    expected = set()
+    for (ticket, _, _), row in zip(asked, scores):
+        best = sorted(zip(-row, known))[: resolve.PASSAGES]
+        expected |= {(ticket, d, c, round(-s, 9), place) for place, (s, (d, c, _)) in enumerate(best, 1) if -s >= resolve.PASSAGE_GATE}
+    found = resolve.nearest_passages(tickets, passages, bucket_rows=bucket_rows).collect()
+    assert expected and {(r["ticket_id"], r["doc_id"], r["chunk"], round(r["score"], 9), r["place"]) for r in found} == expected
+
+
+def test_nearest_of_all_crosses_labels(spark, tmp_path):
+    rows = [(20, [1.0, 0.0], 1), (21, [1.0, 0.1], 2), (22, [0.3, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [(r["row_id"], r["place"]) for r in queries.queries()["nearest_embeddings_of_all"](spark, str(tmp_path)).orderBy("place").collect()] == [(21, 1), (22, 2)]
