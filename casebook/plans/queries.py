@@ -113,6 +113,12 @@ def evidence_extracts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "boilerplate_history").select("row_id", T.extract(F.col("solution_text"), 200).alias("evidence"))
 
 
+@_query(f"""SELECT row_id, CASE WHEN length(t) > 500 THEN substr(t, 1, 499) || '…' ELSE t END AS evidence FROM (SELECT row_id, {_flat('solution_text')} AS t FROM boilerplate_history)""")
+def whole_evidence_extracts(spark: SparkSession, d: str) -> DataFrame:
+    """Each solution on one line, cut to the 500 characters that evidence has."""
+    return table(spark, d, "boilerplate_history").select("row_id", T.extract(F.col("solution_text")).alias("evidence"))
+
+
 @_query(f"""SELECT doc_id, CASE WHEN f = '' THEN 0 ELSE len(string_split(f, ' ')) END AS n_words, CASE WHEN t = '' THEN 0 ELSE 1 + len(regexp_extract_all(t, '[.!?]{_WS}')) END AS n_sentences
     FROM (SELECT doc_id, {_flat('text')} AS f, {_trim('text')} AS t FROM documents)""")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -52,3 +52,10 @@ def test_nearest_of_all_crosses_labels(spark, tmp_path):
     rows = [(20, [1.0, 0.0], 1), (21, [1.0, 0.1], 2), (22, [0.3, 1.0], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert [(r["row_id"], r["place"]) for r in queries.queries()["nearest_embeddings_of_all"](spark, str(tmp_path)).orderBy("place").collect()] == [(21, 1), (22, 2)]
+
+
+def test_evidence_has_500_characters(spark, tmp_path):
+    rows = [(1, "a" * 450), (2, "b" * 500), (3, "c " * 400), (4, None)]
+    spark.createDataFrame(rows, "row_id long, solution_text string").write.parquet(str(tmp_path / "boilerplate_history.parquet"))
+    got = {r["row_id"]: r["evidence"] for r in queries.queries()["whole_evidence_extracts"](spark, str(tmp_path)).collect()}
+    assert got == {1: "a" * 450, 2: "b" * 500, 3: ("c " * 250)[:499] + "…", 4: ""}
