@@ -49,3 +49,23 @@ def test_documents(spark, tmp_path):
     assert rows[-1][0] == "b.docx" and rows[-1][2] is None
     cut = docx_passages(read.where("error IS NULL")).collect()
     assert [(r["heading"], r["n_words"]) for r in cut] == [("Limits", 20)]
+
+
+def test_merged_cells_repeated_headings_and_long_tables(spark, tmp_path):
+    p = lambda t, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>" if style else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
+    cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(t)}</w:tc>"
+    row = lambda *cells: f"<w:tr>{''.join(cells)}</w:tr>"
+    start, on, wide = '<w:vMerge w:val="restart"/>', "<w:vMerge/>", '<w:gridSpan w:val="2"/>'
+    merged = row(cell("Limits", wide), cell("Unit")) + row(cell("seam"), cell("Porosity", start), cell("2 percent")) + row(cell("edge"), cell("", on), cell("3 percent"))
+    merged += row(cell("both", wide), cell("kg", start)) + row(cell("left"), cell("right"), cell("", on))
+    merged += f'<w:tr><w:trPr><w:gridBefore w:val="2"/></w:trPr>{cell("", on)}</w:tr>'
+    long = row(cell("number"), cell("rule")) + "".join(row(cell(f"no{i}"), cell("must hold at all times")) for i in range(100))
+    document(tmp_path / "a.docx", p("Scope", "H1") + f"<w:tbl>{merged}</w:tbl>" + p("Table", "H1") + f"<w:tbl>{long}</w:tbl>" + p("Scope", "H1") + p("other words " * 10) + p("a last line"))
+    read = read_docx(spark, str(tmp_path))
+    lines = read.where("kind = 'table'").orderBy("place").first()["text"].split("\n")
+    assert lines == ["Limits | Unit", "seam | Porosity | 2 percent", "edge | Porosity | 3 percent", "both | kg", "left | right | kg", "kg"]
+    cut = docx_passages(read).orderBy("section", "chunk").collect()
+    assert [(r["heading"], r["section"]) for r in cut] == [("Scope", 1), *[("Table", 2)] * 3, ("Scope", 3)]
+    assert cut[0]["passage"].split("\n") == lines and cut[-1]["passage"].split("\n") == [("other words " * 10).strip(), "a last line"]
+    rows = [r["passage"].split("\n") for r in cut[1:4]]
+    assert all(x[0] == "number | rule" for x in rows) and [y for x in rows for y in x[1:]] == [f"no{i} | must hold at all times" for i in range(100)]
