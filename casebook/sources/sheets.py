@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree as ET
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.sources.headers import HISTORY, header_map, normal
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -22,7 +25,7 @@ class UnsupportedFile(ValueError):
     """A file that isn't a sheet, by its name."""
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+def read_sheet(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]] = HISTORY) -> DataFrame:
     """All columns as texts, null as empty; rows without any text are left out.
 
     ``path`` is a file or a pattern; a workbook's rows also have file_name and
@@ -32,7 +35,7 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     if kind == "csv":
         raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
     elif kind in ("xlsx", "xlsm"):
-        raw = _read_workbooks(spark, path)
+        raw = _read_workbooks(spark, path, aliases)
     else:
         raise UnsupportedFile(f"{path}: not .csv, .xlsx or .xlsm")
     filled = raw.select(*(F.coalesce(raw[f"`{c}`"].cast("string"), F.lit("")).alias(c) for c in raw.columns))
@@ -40,19 +43,49 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return filled.where(reduce(lambda a, b: a | b, (F.col(f"`{c}`") != "" for c in data))) if data else filled
 
 
-def _read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+def _keys(header: list[str], aliases: dict[str, tuple[str, ...]]) -> dict[int, tuple[str, str]]:
+    """place -> (key, name) of a workbook's named columns; columns of several workbooks with the same key belong together."""
+    fields = {column: field for field, column in reversed(header_map([h for h in header if h], aliases, ()).items())}
+    seen: Counter[str] = Counter()
+    out = {}
+    for i, name in enumerate(header):
+        if name:
+            seen[normal(name)] += 1
+            n = seen[normal(name)]
+            key = f"field:{fields[name]}" if n == 1 and name in fields else f"header:{n}:{normal(name)}"
+            out[i] = (key, name if n == 1 else f"{name} ({n})")
+    return out
+
+
+def _read_workbooks(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 cells = list(workbook_rows(content))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(range(1, len(cells) + 1), pa.int64()), pa.array(cells, pa.list_(pa.string()))], ["file_name", "row_no", "cells"])
+                keys = _keys(cells[0], aliases) if cells else {}
+                # a row's cells lie under the keys of its own workbook's columns
+                keyed = [[(key, row[i]) for i, (key, _) in keys.items() if i < len(row)] for row in cells]
+                headers = [cells[0], *[None] * (len(cells) - 1)] if cells else []
+                arrays = [pa.array([name] * len(cells), pa.string()), pa.array(range(1, len(cells) + 1), pa.int64()), pa.array(headers, pa.list_(pa.string())), pa.array(keyed, pa.map_(pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["file_name", "row_no", "header", "cells"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    cells = files.mapInArrow(rows, "file_name string, row_no bigint, cells array<string>")
-    header = cells.where("row_no = 1").orderBy("file_name").limit(1).collect()
-    names = header[0]["cells"] if header else []
+    cells = files.mapInArrow(rows, "file_name string, row_no bigint, header array<string>, cells map<string,string>")
+    # one row a different header, in the order of the files
+    headers = cells.where("row_no = 1").groupBy("header").agg(F.min("file_name").alias("first")).orderBy("first").collect()
+    names: dict[str, str] = {}
+    taken = {"file_name", "row_no"}
+    for row in headers:
+        for key, name in _keys(row["header"], aliases).values():
+            if key not in names:
+                n, free = 1, name
+                while free.casefold() in taken:
+                    n += 1
+                    free = f"{name} ({n})"
+                names[key] = free
+                taken.add(free.casefold())
     data = cells.where("row_no > 1")
-    return data.select("file_name", "row_no", *(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names) if n and n not in names[:i]))
+    return data.select("file_name", "row_no", *(F.col("cells").getItem(key).alias(name) for key, name in names.items()))
 
 
 def workbook_rows(content: bytes) -> Iterator[list[str]]:

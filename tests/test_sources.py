@@ -69,3 +69,14 @@ def test_merged_cells_repeated_headings_and_long_tables(spark, tmp_path):
     assert cut[0]["passage"].split("\n") == lines and cut[-1]["passage"].split("\n") == [("other words " * 10).strip(), "a last line"]
     rows = [r["passage"].split("\n") for r in cut[1:4]]
     assert all(x[0] == "number | rule" for x in rows) and [y for x in rows for y in x[1:]] == [f"no{i} | must hold at all times" for i in range(100)]
+
+
+def test_workbooks_keep_their_own_headers(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [["SPS ID", "Part_Number", "Problem", "Solution"], ["RX-1", "A-1", "lid", "swap"]])
+    workbook(tmp_path / "b.xlsx", [["solution_text", "note", "partno", "problem", "id", "note"], ["turn", "n1", "B-2", "nut", "RX-2", "n2"], ["press", None, "B-3", "pin", "RX-3"]])
+    workbook(tmp_path / "c.xlsx", [["id", "sps_id", "part_number", "partno", "problem", "solution", "file_name"], ["7", "RX-4", "C-4", "old", "cap", "file", "x"]])
+    read = read_sheet(spark, str(tmp_path / "*.xlsx"))
+    got = sorted(tuple(r) for r in with_fields(read).select("sps_id", "part_number", "problem_description", "solution_text").collect())
+    assert got == [("RX-1", "A-1", "lid", "swap"), ("RX-2", "B-2", "nut", "turn"), ("RX-3", "B-3", "pin", "press"), ("RX-4", "C-4", "cap", "file")]
+    notes = {r["SPS ID"]: (r["note"], r["note (2)"], r["id"], r["partno"], r["file_name (2)"]) for r in read.collect()}
+    assert notes == {"RX-1": ("",) * 5, "RX-2": ("n1", "n2", "", "", ""), "RX-3": ("",) * 5, "RX-4": ("", "", "7", "old", "x")}
