@@ -186,30 +186,34 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """(doc_id, text, n_removed, kept): the documents without the passages that match ``span`` or more words of an item.
 
     A document is not kept, and its text is null, if such passages make up more
-    than ``max_coverage`` of its words.  n_removed counts removed words.
+    than ``max_coverage`` of its words.  n_removed counts the words in such
+    passages.  All blocks of items are matched against the original text, then
+    it is judged and cut once, so that the result doesn't depend on them.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(True).alias("kept"))
-    for block in _blocks(items, item_id, item_text, block_chars):
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.array().cast("array<int>").alias("cut"))
+    blocks = _blocks(items, item_id, item_text, block_chars)
+    for b, block in enumerate(blocks, 1):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=b == len(blocks)) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(shared.value, span)
             for batch in batches:
-                texts, removed, kept = [], [], []
-                for body, n, keep in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                    hits = automaton.matches(words_of(body)) if body else []
-                    if hits:
-                        places = word_spans(body)
-                        cut = sorted({j for i, size, _ in hits for j in range(i - size + 1, i + 1)})
-                        n += len(cut)
-                        keep = keep and len(cut) <= max_coverage * len(places)
-                        body = _cut_out(body, places, cut) if keep else None
-                    texts.append(body)
-                    removed.append(n)
-                    kept.append(keep)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(kept, pa.bool_())], ["doc_id", "text", "n_removed", "kept"])
-
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, n_removed bigint, kept boolean")
+                bodies, cuts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                for k, body in enumerate(bodies):
+                    if body and (hits := automaton.matches(words_of(body))):
+                        cuts[k] = sorted({j for i, size, _ in hits for j in range(i - size + 1, i + 1)}.union(cuts[k]))
+                if not last:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.int32()))], ["doc_id", "text", "cut"])
+                    continue
+                kept = [True] * len(bodies)
+                for k, cut in enumerate(cuts):
+                    if cut:
+                        places = word_spans(bodies[k])
+                        kept[k] = len(cut) <= max_coverage * len(places)
+                        bodies[k] = _cut_out(bodies[k], places, cut) if kept[k] else None
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(kept, pa.bool_())], ["doc_id", "text", "n_removed", "kept"])
+
+        out = out.mapInArrow(run, f"doc_id {kind}, text string, " + ("n_removed bigint, kept boolean" if b == len(blocks) else "cut array<int>"))
     return out

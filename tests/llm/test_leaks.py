@@ -59,3 +59,18 @@ def test_without_leaks(spark):
     assert rows["a"]["text"].startswith("before. ; after it") and rows["a"]["n_removed"] == 15 and rows["a"]["kept"]
     assert rows["e"]["text"] is None and not rows["e"]["kept"]
     assert rows["b"]["n_removed"] == 0 and rows["c"]["text"] is None and rows["c"]["kept"]
+
+
+def test_blocks_of_items_make_no_difference(spark):
+    first, second = (" ".join(f"{c}{i}" for i in range(15)) for c in "pq")
+    items = spark.createDataFrame([(1, first), (2, second), (3, "s0 s1 s2 s3 s4 s5 t0 t1 t2 t3 t4 t5 t6")], "item_id long, text string")
+    docs = {
+        "half by both": f"{first} {'x ' * 10} {second} {'y ' * 10}",
+        "third by one": f"{first} {'x ' * 30}",
+        "joined by a cut": f"{'x ' * 30} s0 s1 s2 s3 s4 s5 {first} t0 t1 t2 t3 t4 t5 t6 {'y ' * 30}",
+        "none": "plain words",
+    }
+    frame = spark.createDataFrame(list(docs.items()), "doc_id string, text string")
+    found = [sorted(tuple(r) for r in leaks.without_leaks(frame, items, block_chars=n).collect()) for n in (8_000_000, 50, 1)]
+    assert found[0] == found[1] == found[2]
+    assert {d: (n, kept) for d, _, n, kept in found[0]} == {"half by both": (30, False), "third by one": (15, True), "joined by a cut": (15, True), "none": (0, True)}
