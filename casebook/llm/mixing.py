@@ -76,7 +76,7 @@ def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, block_rows: int = 20_000) -> DataFrame:
+def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, block_rows: int = 20_000, most_sources: int = 100_000) -> DataFrame:
     """(place, doc_id, source, copy, tokens, finish): the mixture in its order.
 
     ``texts`` as from source_texts; ``targets`` (source, target_share,
@@ -86,13 +86,16 @@ def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, see
     ``budget``, it is the largest at which every such source can fill its
     share; beyond that, sources that run out end and the others go on.  Of
     targets whose share or repeats are null or not positive, no text is used.
-    place is the number of tokens before the text.
+    place is the number of tokens before the text.  More than ``most_sources``
+    sources with texts are an error.
     """
     spark = texts.sparkSession
     goal = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("bigint").alias("repeats"))
     goal = goal.where("source IS NOT NULL AND share > 0 AND repeats > 0").groupBy("source").agg(F.max("share").alias("share"), F.max("repeats").alias("repeats"))
     # one row a targeted source, with its texts' totals
-    sizes = texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).join(goal, "source").limit(100_000).collect()
+    sizes = texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).join(goal, "source").limit(most_sources + 1).collect()
+    if len(sizes) > most_sources:
+        raise ValueError(f"more than {most_sources:,} targeted sources with texts; their shares are planned on the driver")
     schema = "place bigint, doc_id bigint, source string, copy bigint, tokens bigint, finish double"
     if not sizes:
         return spark.createDataFrame([], schema)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from casebook.llm import mixing
@@ -68,3 +69,11 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "id int, text string")
     got = {r["id"]: r["tokens"] for r in mixing.with_tokens(df, "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_no_source_is_lost_above_the_bound(spark):
+    texts = spark.createDataFrame([(i, f"s{i}", 5) for i in range(4)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([(f"s{i}", 0.25, 1) for i in range(4)], "source string, target_share double, max_repeats int")
+    assert {r["source"] for r in mixing.mixture(texts, targets, most_sources=4).collect()} == {"s0", "s1", "s2", "s3"}
+    with pytest.raises(ValueError, match="more than 3 targeted sources"):
+        mixing.mixture(texts, targets, most_sources=3)
