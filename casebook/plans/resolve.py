@@ -43,7 +43,7 @@ def shortlisted(tickets: DataFrame, history: DataFrame, groups: DataFrame, k: in
     return nearest_in_scope(asked, rows, hashed_counts, k, least)
 
 
-def nearest_passages(tickets: DataFrame, passages: DataFrame, k: int = PASSAGES, least: float = PASSAGE_GATE, bucket_rows: int = 2_000) -> DataFrame:
+def nearest_passages(tickets: DataFrame, passages: DataFrame, k: int = PASSAGES, least: float = PASSAGE_GATE, bucket_rows: int = 10_000) -> DataFrame:
     """(ticket_id, doc_id, chunk, score, place): each ticket's ``k`` most similar passages of the corpus, by exact cosine, from ``least`` on.
 
     ``passages`` (doc_id, chunk, passage).  There is one scope for all: every
