@@ -13,19 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 _sent: set[str] = set()
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark."""
+def local_session(cpus: int | str = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session for tests and the benchmark; ``shared`` is the folder of intermediate tables."""
     conf = {
         "spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.adaptive.enabled": "true",
-    }
+    } | ({"spark.checkpoint.dir": shared} if shared else {})
     return SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application; tasks of a local session have it already."""
+    """Send this package to the Python workers, once an application.
+
+    Workers of a local session don't get the driver's module path either, so
+    they are sent the archive as well.
+    """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.applicationId in _sent:
+    if sc.applicationId in _sent:
         return
     here = Path(__file__).resolve().parent
     archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / here.name), "zip", here.parent, here.name)
