@@ -6,6 +6,7 @@ different sequences of ``words`` consecutive words.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -47,7 +48,7 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 def shingle_hashes(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the word sequences of adjoining texts, and each text's number of them.
+    """64-bit hashes of the word sequences of adjoining texts, and each text's number of them.
 
     ``data`` holds the texts' UTF-8 bytes, ``ends`` where each text ends.
     """
@@ -65,12 +66,24 @@ def shingle_hashes(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.n
     text_of = np.searchsorted(ends, first, side="right")
     n = len(token) - words + 1
     if n <= 0:
-        return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
     mixed = np.zeros(n, np.uint64)
     for i in range(words):
         mixed = mixed * np.uint64(_BASE) + token[i : i + n]
     whole = text_of[:n] == text_of[words - 1 :]
-    return (mix64(mixed[whole]) >> np.uint64(32)).astype(np.uint32), np.bincount(text_of[:n][whole], minlength=len(ends))
+    return mix64(mixed[whole]), np.bincount(text_of[:n][whole], minlength=len(ends))
+
+
+def _shingled(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the first text, hashes, counts) of a batch's texts, some of them at a time."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _BYTES, side="right")) - 1)
+        yield lo, *shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo], words)
+        lo = hi
 
 
 def circulant_signatures(items: np.ndarray, counts: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
@@ -100,114 +113,137 @@ def circulant_signatures(items: np.ndarray, counts: np.ndarray, length: int, see
             np.right_shift(pi, 15, out=low)
             np.bitwise_xor(pi, low, out=pi)
             np.multiply(pi, _MIX32[1], out=pi)
-            np.right_shift(pi, 16, out=low)
-            np.bitwise_xor(pi, low, out=pi)
             np.minimum.reduceat(pi, at, out=out[k, lo:hi])
         lo = hi
     return out
 
 
 def _band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """For each set its ``bands`` keys of 40 bits."""
-    out = np.empty((signatures.shape[1], bands), np.int64)
+    """For each set its ``bands`` keys of 32 bits."""
+    out = np.empty((signatures.shape[1], bands), np.uint32)
     for b in range(bands):
         key = np.full(signatures.shape[1], b + 1, np.uint64)
         for r in range(rows):
             key = mix64(key * np.uint64(_BASE) + signatures[b * rows + r])
-        out[:, b] = (key >> np.uint64(24)).astype(np.int64)
+        out[:, b] = key >> np.uint64(32)
     return out
 
 
-def _sketcher(words: int, bands: int, rows: int):
+def _runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, sizes) of the runs of equal keys, once sorted."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return order, starts, np.diff(np.append(starts, len(keys)))
+
+
+def _sketcher(words: int, bands: int, rows: int, buckets: int, longest: int):
+    """From (slot, text) to (bucket, keys, slots, hot): a batch's band keys and the slots that have them, dealt to buckets by the key.
+
+    The slots of a key that more than ``longest`` texts of the batch have
+    follow under a negative bucket, so that no bucket grows with a hot key; its
+    own bucket only gets the key, in ``hot``.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, pick = np.unique(batch.column("h").to_numpy(zero_copy_only=False), return_index=True)
-            texts = batch.column("text").take(pa.array(pick)).cast(pa.large_binary())
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-            lo = 0
-            while lo < len(ids):
-                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _BYTES, side="right")) - 1)
-                items, counts = shingle_hashes(data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo], words)
+            slots, pick = np.unique(batch.column("slot").to_numpy(), return_index=True)
+            found, owners = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+            for lo, hashes, counts in _shingled(batch.column("text").take(pa.array(pick)), words):
                 some = counts > 0
                 if some.any():
-                    keys = _band_keys(circulant_signatures(items, counts[some], bands * rows), bands, rows)
-                    lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][some]), lists], ["h", "bands"])
-                lo = hi
+                    keys = _band_keys(circulant_signatures((hashes >> np.uint64(32)).astype(np.uint32), counts[some], bands * rows), bands, rows)
+                    found.append(keys.ravel())
+                    owners.append(np.repeat(slots[lo : lo + len(counts)][some], bands))
+            key, slot = np.concatenate(found), np.concatenate(owners)
+            order, starts, sizes = _runs_of(key)
+            key, slot, many = key[order], slot[order], np.repeat(sizes > longest, sizes)
+            bucket = (key.astype(np.int64) * buckets) >> 32
+            hot = starts[sizes > longest]
+            of = np.unique(np.concatenate([bucket, -1 - bucket[hot]]))
+            columns = []
+            for mine, values in ((np.where(many, -1 - bucket, bucket), key.view(np.int32)), (np.where(many, -1 - bucket, bucket), slot), (bucket[hot], key[hot].view(np.int32))):
+                order = np.argsort(mine, kind="stable")
+                columns.append(pa.ListArray.from_arrays(np.append(np.searchsorted(mine[order], of), len(mine)).astype(np.int32), values[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *columns], ["bucket", "keys", "slots", "hot"])
 
     return run
 
 
 def _bucket_pairs(longest: int):
-    """From rows sorted by band key and class: each bucket's pairs of classes, as (a, b, null).
+    """The pairs of slots that share a band key of a bucket, as (a, b, null), a < b.
 
-    A bucket of more than ``longest`` classes isn't paired here; its rows are
-    passed on as (class, null, band).  No more than ``longest`` classes of the
-    bucket at hand are kept.
+    Keys that are hot or have more than ``longest`` slots aren't paired here;
+    their slots are passed on as (slot, null, key).
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: list[np.ndarray], b: list[np.ndarray], over_h: list[np.ndarray], over_band: list[np.ndarray]) -> pa.RecordBatch:
-            a, b, h, band = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, over_h, over_band))
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([a, h])), pa.array(np.concatenate([b, h]), mask=np.arange(len(a) + len(h)) >= len(a)),
-                pa.array(np.concatenate([a, band]), mask=np.arange(len(a) + len(h)) < len(a)),
-            ], ["a", "b", "band"])
-
-        held_band, held_h, flooded = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in (*batches, None):
-            if batch is None:
-                band, h = held_band, held_h
-            else:
-                band = np.concatenate([held_band, batch.column("band").to_numpy()])
-                h = np.concatenate([held_h, batch.column("h").to_numpy()])
-            if not len(band):
-                continue
-            fresh = np.ones(len(band), bool)
-            fresh[1:] = (band[1:] != band[:-1]) | (h[1:] != h[:-1])
-            band, h = band[fresh], h[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            sizes = np.diff(np.append(starts, len(band)))
-            a, b, over_h, over_band = [], [], [], []
-            if batch is not None:  # the last bucket may go on in the next batch
-                cut = starts[-1]
-                if sizes[-1] > longest or flooded == band[-1]:
-                    flooded = band[-1]
-                    over_h.append(h[cut:-1])
-                    over_band.append(band[cut:-1])
-                    cut = len(band) - 1
-                held_band, held_h = band[cut:], h[cut:]
-                starts, sizes = starts[:-1], sizes[:-1]
-            ends_flood = (band[starts] == flooded) if flooded is not None else np.zeros(len(starts), bool)
-            big = (sizes > longest) | ends_flood
-            for s, n in zip(starts[big], sizes[big]):
-                over_h.append(h[s : s + n])
-                over_band.append(band[s : s + n])
-            for n in np.unique(sizes[~big & (sizes > 1)]):
-                at = starts[~big & (sizes == n)][:, None]
-                i, j = np.triu_indices(n, 1)
-                a.append(h[at + i].ravel())
-                b.append(h[at + j].ravel())
-            if a or over_h:
-                yield out(a, b, over_h, over_band)
+    def run(bucket: pa.Table) -> pa.Table:
+        key, slot, hot = (bucket.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "slots", "hot"))
+        order = np.lexsort((slot, key))
+        key, slot = key[order], slot[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])
+        key, slot = key[fresh], slot[fresh]
+        _, starts, sizes = _runs_of(key)
+        big = (sizes > longest) | np.isin(key[starts], hot)
+        if bucket.num_rows and bucket.column("bucket")[0].as_py() < 0:
+            big[:] = True
+        rest = np.repeat(big, sizes)
+        a, b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for n in np.unique(sizes[~big & (sizes > 1)]):
+            at = starts[~big & (sizes == n)][:, None]
+            i, j = np.triu_indices(n, 1)
+            a.append(slot[at + i].ravel())
+            b.append(slot[at + j].ravel())
+        both = np.unique((np.concatenate(a).astype(np.int64) << 32) | np.concatenate(b).view(np.uint32))
+        a, b = (both >> 32).astype(np.int32), both.astype(np.int32)
+        is_rest = np.arange(len(a) + rest.sum()) >= len(a)
+        columns = (np.concatenate([a, slot[rest]]), np.concatenate([b, slot[rest]]), np.concatenate([np.zeros(len(a), np.int32), key[rest]]))
+        return pa.table([pa.array(columns[0]), pa.array(columns[1], mask=is_rest), pa.array(columns[2], mask=~is_rest)], ["a", "b", "band"])
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text once a batch."""
+    for batch in batches:
+        _, pick = np.unique(batch.column("h").to_numpy(), return_index=True)
+        yield batch.take(pa.array(np.sort(pick)))
+
+
 def _verifier(words: int, threshold: float):
-    def grams(text: str) -> set[tuple[str, ...]]:
+    """Pairs of texts to those that are similar enough, with their exact similarity.
+
+    Hashes of the sequences refuse what lies clearly below the threshold; the
+    sequences themselves decide on the rest.
+    """
+
+    def sequences(text: str) -> set[tuple[str, ...]]:
         w = _RUNS.findall(text)
         return set(zip(*(w[i:] for i in range(words))))
 
+    def hashed(texts: pa.Array) -> list[set[int]]:
+        out: list[set[int]] = []
+        for _, hashes, counts in _shingled(texts, words):
+            ends = np.cumsum(counts).tolist()
+            values = hashes.tolist()
+            out += [set(values[i:j]) for i, j in zip([0, *ends], ends)]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sides = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
+            (of_a, of_b), (at_a, at_b) = ([hashed(s.dictionary) for s in sides], [s.indices.to_pylist() for s in sides])
+            exact: dict[str, set] = {}
             keep, value = [], []
-            for i, (a, b) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())):
-                x, y = grams(a), grams(b)
+            for i, (p, q) in enumerate(zip(at_a, at_b)):
+                x, y = of_a[p], of_b[q]
+                both = len(x & y)
+                if both < (threshold - 0.01) * (len(x) + len(y) - both):
+                    continue
+                x, y = (exact[t] if t in exact else exact.setdefault(t, sequences(t)) for t in (batch.column("text_a")[i].as_py(), batch.column("text_b")[i].as_py()))
                 both = len(x & y)
-                similarity = both / (len(x) + len(y) - both)
-                if similarity >= threshold:
+                if (similarity := both / (len(x) + len(y) - both)) >= threshold:
                     keep.append(i)
                     value.append(similarity)
             if keep:
@@ -217,7 +253,9 @@ def _verifier(words: int, threshold: float):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, threshold: float = 0.8, bands: int = 28, rows: int = 5, longest: int = 256) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    df: DataFrame, id_col: str, text: Column, words: int = 5, threshold: float = 0.8, bands: int = 44, rows: int = 5, longest: int = 256, bucket_entries: int = 1 << 21,
+) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the records of ``df`` whose similarity is ``threshold`` or more.
 
     members (id, h, h2): each record with at least ``words`` words and its
@@ -227,28 +265,37 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, words: int = 5, th
     them, have no sequence and are in no class.
 
     Bands of ``rows`` coordinates only propose links; pick ``bands`` so that
-    (1 - threshold ** rows) ** bands is as small as needed.  A class is
-    sketched once a batch of records however many copies it has.  The classes
-    of a bucket are paired where they lie sorted; those of a bucket of more
-    than ``longest`` classes by a join, which Spark splits where it is skewed.
+    (1 - threshold ** rows) ** bands, the chance to miss a pair right at the
+    threshold, is as small as needed: 3e-8 for 44 bands at 0.8.  A class is
+    sketched once a batch of records however many copies it has.  Texts travel
+    through the bands as slots, 32-bit hashes of theirs; texts that share a
+    slot are told apart when they are compared.
+
+    Band keys are dealt to as many buckets as hold about ``bucket_entries``
+    each and paired there.  A key with more than ``longest`` texts goes
+    through a join, which Spark splits where it is skewed.
     """
     base = df.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
     base = base.where(F.col("text").rlike("[a-z0-9]" + "+[^a-z0-9]+[a-z0-9]" * (words - 1)))
     base = base.select("id", F.xxhash64("text").alias("h"), F.hash("text").alias("h2"), "text")
     members = materialise(base.select("id", "h", "h2"), "members")
+    buckets = max(64, math.ceil(members.count() * bands / bucket_entries))
 
-    keys = base.select("h", "text").mapInArrow(_sketcher(words, bands, rows), "h bigint, bands array<bigint>").select("h", F.explode("bands").alias("band"))
-    met = keys.repartition("band").sortWithinPartitions("band", "h").mapInArrow(_bucket_pairs(longest), "a bigint, b bigint, band bigint").distinct()
+    keys = base.select(F.col("h2").alias("slot"), "text").mapInArrow(_sketcher(words, bands, rows, buckets, longest), "bucket bigint, keys array<int>, slots array<int>, hot array<int>")
+    met = keys.groupBy("bucket").applyInArrow(_bucket_pairs(longest), "a int, b int, band int").distinct()
     met = materialise(met, "met")
     over = met.where("b IS NULL")
-    rest = over.select("a", "band").hint("merge").join(over.select(F.col("a").alias("b"), "band"), "band").where("a < b").select("a", "b")
     pairs = met.where("b IS NOT NULL").select("a", "b")
     if not over.isEmpty():
+        rest = over.select("a", "band").hint("merge").join(over.select(F.col("a").alias("b"), "band"), "band").where("a < b").select("a", "b")
         pairs = pairs.unionByName(rest).distinct()
-    texts = base.groupBy("h", "h2").agg(F.min("text").alias("text")).repartition("h")
+    # one shuffle of the texts: partitioned by slot, they are grouped by class where they lie
+    texts = base.select("h", "h2", "text").mapInArrow(_once, "h bigint, h2 int, text string").repartition("h2").groupBy("h", "h2").agg(F.min("text").alias("text"))
     side = lambda k: texts.select(F.col("h").alias(k), F.col("h2").alias(f"{k}2"), F.col("text").alias(f"text_{k}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.select(F.col("a").alias("a2"), F.col("b").alias("b2")).join(side("a"), "a2").join(side("b"), "b2")
     links = pairs.select("a", "a2", "b", "b2", "text_a", "text_b").mapInArrow(_verifier(words, threshold), "a bigint, a2 int, b bigint, b2 int, similarity double")
+    turned = F.col("a") > F.col("b")
+    links = links.select(*(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("a2", "b2"), ("b", "a"), ("b2", "a2"))), "similarity")
     return members, links
 
 

@@ -56,8 +56,8 @@ def _history_text() -> F.Column:
 
 
 def _history_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    # no similarity lies between 0.5 and 0.7, so bands are set for 0.7
-    return minhash.near_duplicates(table(spark, d, "boilerplate_history"), "row_id", _history_text(), words=3, threshold=0.6, bands=40, rows=5)
+    # no similarity lies between 0.5 and 0.7, so bands are set for 0.7: a pair of that similarity is missed with a chance of 8e-8
+    return minhash.near_duplicates(table(spark, d, "boilerplate_history"), "row_id", _history_text(), words=3, threshold=0.6, bands=88, rows=5)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +158,18 @@ def oracle_sql() -> dict[str, str]:
     exports = """SELECT upper(trim(sps_id, ' \t')) AS sps_id, row_id, length(trim(problem_description)) >= 10 AS p, length(trim(solution_text)) >= 15 AS s,
         try_cast(CASE WHEN regexp_matches(last_modified_date, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN last_modified_date ELSE last_modified_date || 'Z' END AS TIMESTAMPTZ) AS m FROM boilerplate_history"""
     pick = "(arg_max(row_id, coalesce(epoch_us(m), -9000000000000000)::HUGEINT * 1000000000000 + row_id) FILTER (WHERE {c}))"
+    grams = """w AS (SELECT row_id, t, regexp_extract_all(t, '[a-z0-9]+') AS w FROM (SELECT row_id, lower(coalesce(problem_description, '') || ' ' || coalesce(solution_text, '')) AS t FROM boilerplate_history)),
+        g AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        n AS (SELECT row_id, count(*) AS n FROM g GROUP BY 1),
+        shared AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.row_id < b.row_id GROUP BY 1, 2),
+        pairs AS (SELECT row_a, row_b FROM shared JOIN n x ON row_a = x.row_id JOIN n y ON row_b = y.row_id WHERE shared.n >= 0.6 * (x.n + y.n - shared.n))"""
+    groups = f"""WITH RECURSIVE {grams}, two_way AS (SELECT row_a, row_b FROM pairs UNION ALL SELECT row_b, row_a FROM pairs),
+        near AS (SELECT row_id, row_id AS other FROM n UNION SELECT near.row_id, row_b FROM near JOIN two_way ON other = row_a),
+        links AS (SELECT row_a AS row_id, count(DISTINCT y.t) AS n_links FROM two_way JOIN w x ON row_a = x.row_id JOIN w y ON row_b = y.row_id WHERE x.t <> y.t GROUP BY 1)
+        SELECT row_id, group_id, coalesce(n_links, 0) AS n_links FROM (SELECT row_id, min(other) AS group_id FROM near GROUP BY 1) LEFT JOIN links USING (row_id)"""
     return {
+        "p4_found": f"WITH {grams} SELECT * FROM pairs",
+        "p4_groups": groups,
         "p3_found": p3("part_number", 5),
         "p3_best_per_ticket": p3("ticket_id", 3),
         "p5_found": f"WITH e AS ({exports}) SELECT sps_id, {pick.format(c='p')} AS problem_row_id, {pick.format(c='s')} AS solution_row_id FROM e WHERE sps_id <> '' GROUP BY sps_id HAVING count(*) >= 2",

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,23 +67,33 @@ def test_chain_of_links_is_one_group(spark):
     assert {r.group_id for r in minhash.duplicate_groups(members, links).collect()} == {0}
 
 
-def test_bucket_pairs_over_batches():
+@pytest.mark.parametrize("longest", [1, 9, 50])
+def test_every_shared_key_gives_a_pair(longest):
     random.seed(5)
-    rows = sorted({(random.randrange(12), random.randrange(40)) for _ in range(160)})
-    for size in (1, 3, 7, 400):
-        batches = [pa.RecordBatch.from_pydict({"h": [h for _, h in rows[i : i + size]], "band": [b for b, _ in rows[i : i + size]]}) for i in range(0, len(rows), size)]
-        out = [r for batch in minhash._bucket_pairs(9)(iter(batches)) for r in batch.to_pylist()]
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(random.choice(words) for _ in range(5)) for _ in range(90)] + ["w1 w2 w3 w4 w5"] * 3
+    bands, rows, every = 6, 2, {}
+    sketched = []
+    for size in (7, 30, 93):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + size, 93)), pa.int32()), pa.array(texts[i : i + size])], ["slot", "text"]) for i in range(0, 93, size)]
+        sketched.append(pa.Table.from_batches(minhash._sketcher(3, bands, rows, 5, longest)(iter(batches))))
+    keyed = pa.Table.from_batches(minhash._sketcher(3, bands, rows, 1, 1000)(iter([pa.RecordBatch.from_arrays([pa.array(range(93), pa.int32()), pa.array(texts)], ["slot", "text"])])))
+    for key, slot in zip(keyed["keys"].combine_chunks().flatten().to_pylist(), keyed["slots"].combine_chunks().flatten().to_pylist()):
+        every.setdefault(key, set()).add(slot)
+    for table in sketched:
+        out = []
+        for bucket in sorted(set(table["bucket"].to_pylist())):
+            out += minhash._bucket_pairs(longest)(table.filter(pa.compute.equal(table["bucket"], bucket))).to_pylist()
         pairs = {(r["a"], r["b"]) for r in out if r["b"] is not None}
         over: dict = {}
         for r in out:
             if r["b"] is None:
                 over.setdefault(r["band"], set()).add(r["a"])
-        for band in range(12):
-            mine = {h for b, h in rows if b == band}
-            if band in over:
-                assert over[band] == mine and len(mine) > 9
+        for key, slots in every.items():
+            if len(slots) > longest:
+                assert over[key] == slots
             else:
-                assert {(a, b) for a in mine for b in mine if a < b} <= pairs
+                assert key not in over and {(a, b) for a in slots for b in slots if a < b} <= pairs
 
 
 def test_hot_copies_stay_one_class(spark):
