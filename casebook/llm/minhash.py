@@ -211,11 +211,11 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(np.sort(pick)))
 
 
-def _verifier(words: int, threshold: float):
-    """Pairs of texts to those that are similar enough, with their exact similarity.
+def _verifier(words: int, threshold: float, together: int = 1000):
+    """Pairs of texts to those that are similar enough, with their Jaccard similarity, ``together`` pairs at a time.
 
-    Hashes of the sequences refuse what lies clearly below the threshold; the
-    sequences themselves decide on the rest.
+    The sequences stand as 64-bit hashes; a pair within 0.02 of the threshold
+    is decided by the sequences themselves.
     """
 
     def sequences(text: str) -> set[tuple[str, ...]]:
@@ -230,25 +230,23 @@ def _verifier(words: int, threshold: float):
             out += [set(values[i:j]) for i, j in zip([0, *ends], ends)]
         return out
 
+    def similarity(x: set, y: set) -> float:
+        both = len(x & y)
+        return both / (len(x) + len(y) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
-            (of_a, of_b), (at_a, at_b) = ([hashed(s.dictionary) for s in sides], [s.indices.to_pylist() for s in sides])
-            exact: dict[str, set] = {}
-            keep, value = [], []
-            for i, (p, q) in enumerate(zip(at_a, at_b)):
-                x, y = of_a[p], of_b[q]
-                both = len(x & y)
-                if both < (threshold - 0.01) * (len(x) + len(y) - both):
-                    continue
-                x, y = (exact[t] if t in exact else exact.setdefault(t, sequences(t)) for t in (batch.column("text_a")[i].as_py(), batch.column("text_b")[i].as_py()))
-                both = len(x & y)
-                if (similarity := both / (len(x) + len(y) - both)) >= threshold:
-                    keep.append(i)
-                    value.append(similarity)
-            if keep:
-                kept = batch.select(["a", "a2", "b", "b2"]).take(pa.array(keep, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(value, pa.float64())], ["a", "a2", "b", "b2", "similarity"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, together):
+                batch = whole.slice(lo, together)
+                sides = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
+                (of_a, of_b), (at_a, at_b) = ([hashed(s.dictionary) for s in sides], [s.indices.to_pylist() for s in sides])
+                value = np.array([similarity(of_a[p], of_b[q]) for p, q in zip(at_a, at_b)])
+                for i in np.flatnonzero(abs(value - threshold) < 0.02).tolist():
+                    value[i] = similarity(*(sequences(batch.column(c)[i].as_py()) for c in ("text_a", "text_b")))
+                keep = np.flatnonzero(value >= threshold)
+                if len(keep):
+                    kept = batch.select(["a", "a2", "b", "b2"]).take(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(value[keep])], ["a", "a2", "b", "b2", "similarity"])
 
     return run
 
