@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -120,6 +122,17 @@ class SuffixAutomaton:
         return out
 
 
+_built: dict[tuple[str, int], SuffixAutomaton] = {}
+
+
+def _automaton(key: str, items: Broadcast, span: int) -> SuffixAutomaton:
+    """The automaton of a block of items, built once in a Python worker, which keeps that of one block at a time."""
+    if (key, span) not in _built:
+        _built.clear()
+        _built[key, span] = SuffixAutomaton(items.value, span)
+    return _built[key, span]
+
+
 def _cut_out(text: str, places: list[tuple[str, int, int]], cut: list[int]) -> str:
     """The text without the words at the ascending places ``cut``, and what stands between two of them."""
     pieces, at = [], 0
@@ -142,14 +155,14 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> list
     return blocks
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 12, block_chars: int = 8_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 12, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, n_words, coverage): documents that hold ``span`` or more consecutive words of an item.
 
     n_words counts the document's words in such passages of the item; coverage
     is that over the item's words, 1 at most.  The items are a stated test set:
     they are taken in blocks of about ``block_chars`` characters, one automaton
-    and one pass over the documents a block, so that what is broadcast has a
-    bound.  Null and empty texts match nothing; items shorter than ``span``
+    (some 90 bytes a character, once a Python worker) and one pass over the
+    documents a block, so that what is broadcast has a bound.  Null and empty texts match nothing; items shorter than ``span``
     words can't leak; repeated items are reported under each id.
     """
     spark = docs.sparkSession
@@ -159,8 +172,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     for block in _blocks(items, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(shared.value, span)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(key, shared, span)
             for batch in batches:
                 ids, which, words = [], [], []
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -182,7 +195,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     return found
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 12, max_coverage: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 12, max_coverage: float = 0.5, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, text, n_removed, kept): the documents without the passages that match ``span`` or more words of an item.
 
     A document is not kept, and its text is null, if such passages make up more
@@ -197,8 +210,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     for b, block in enumerate(blocks, 1):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=b == len(blocks)) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(shared.value, span)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex, last=b == len(blocks)) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(key, shared, span)
             for batch in batches:
                 bodies, cuts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 for k, body in enumerate(bodies):

@@ -46,8 +46,9 @@ def with_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER, out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(tokenizer).encode_ordinary
         for batch in batches:
-            n = [len(encode(t)) if t else 0 for t in batch.column(text).to_pylist()]
-            yield batch.drop_columns([text]).append_column(out, pa.array(n, pa.int64()))
+            coded = batch.column(text).dictionary_encode()  # copies in a batch are counted once
+            n = pa.array([len(encode(t)) for t in coded.dictionary.to_pylist()], pa.int64())
+            yield batch.drop_columns([text]).append_column(out, n.take(coded.indices).fill_null(0))
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text]
     return df.mapInArrow(run, ", ".join([*kept, f"`{out}` bigint"]))
@@ -76,7 +77,7 @@ def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, block_rows: int = 20_000, most_sources: int = 100_000) -> DataFrame:
+def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, block_rows: int | None = None, most_sources: int = 100_000) -> DataFrame:
     """(place, doc_id, source, copy, tokens, finish): the mixture in its order.
 
     ``texts`` as from source_texts; ``targets`` (source, target_share,
@@ -88,6 +89,9 @@ def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, see
     targets whose share or repeats are null or not positive, no text is used.
     place is the number of tokens before the text.  More than ``most_sources``
     sources with texts are an error.
+
+    A block has about ``block_rows`` texts, by default 20,000 or the root of
+    their number if that is more, so that the blocks' totals are as few.
     """
     spark = texts.sparkSession
     goal = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("bigint").alias("repeats"))
@@ -108,17 +112,19 @@ def mixture(texts: DataFrame, targets: DataFrame, budget: int | None = None, see
         end = math.inf
     for r in sizes:
         need = min(r["repeats"], math.floor(r["share"] / whole * end / r["tokens"]) + 1) if end < math.inf else r["repeats"]
-        plan.append((r["source"], r["share"] / whole, need, max(1, math.ceil(r["n"] / block_rows))))
+        plan.append((r["source"], r["share"] / whole, need, max(1, math.ceil(r["n"] / (block_rows or max(20_000, math.isqrt(r["n"])))))))
     planned = spark.createDataFrame(plan, "source string, weight double, passes bigint, blocks bigint")
     uses = texts.join(_small(planned), "source").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)))
     uses = uses.withColumn("u", F.xxhash64(F.lit(seed), "copy", "doc_id")).withColumn("block", F.col("copy") * F.col("blocks") + F.pmod(F.shiftright("u", 8), "blocks"))
     queued = running_sum(uses, ["source"], "block", ["u", "doc_id"], "tokens", "through").withColumn("finish", F.col("through") / F.col("weight"))
     queued = queued.where(F.col("finish") <= end) if end < math.inf else queued
     queued = materialise(queued.select("doc_id", "source", "copy", "tokens", "finish"), "queued")
-    n, last = queued.agg(F.count("*"), F.max("finish")).first()
-    slices = max(1, math.ceil(n / block_rows))
-    cut = queued.withColumn("slice", F.least(F.floor(F.col("finish") / F.lit(last or 1.0) * slices), F.lit(slices - 1)))
-    placed = running_sum(cut, [], "slice", ["finish", "source", "doc_id", "copy"], "tokens", "through")
+    n = queued.count()
+    slices = max(1, math.ceil(n / (block_rows or max(20_000, math.isqrt(n)))))
+    # ranges of the order with about as many texts each, written so that they stay as they are
+    order = ["finish", "source", "doc_id", "copy"]
+    cut = materialise(queued.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()), "sliced")
+    placed = running_sum(cut, [], "slice", order, "tokens", "through")
     placed = placed.where(F.col("through") <= budget).withColumn("place", F.col("through") - F.col("tokens"))
     return placed.orderBy("finish", "source", "doc_id", "copy").select("place", "doc_id", "source", "copy", "tokens", "finish")
 

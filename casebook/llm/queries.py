@@ -89,17 +89,14 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     """Each sps_id's surviving record, built field by field from its latest row; only the part number yields to a better written one."""
     rows = _exports(spark, d).withColumn("modified", survivor.instant(F.col("last_modified_date")))
     fields = {
-        "part": F.length(F.trim("part_number")) > 0, "issue": F.length(F.trim("issue_type")) > 0,
+        "part": _long("part_number", 1), "issue": _long("issue_type", 1),
         "problem": _long("problem_description", 10), "solution": _long("solution_text", 15), "date": F.col("modified").isNotNull(),
     }
     trust = F.col("part_number").rlike(r"^\p{Lu}?[A-Z0-9]+[-/._][A-Z0-9]+$").cast("int")
-    best = survivor.surviving_fields(rows, "sps_id", fields, F.col("modified"), {"part": F.coalesce(trust, F.lit(0))}, "row_id", min_rows=1)
     names = {"part": "part_number", "issue": "issue_type", "problem": "problem_description", "solution": "solution_text", "date": "last_modified_date"}
-    chosen = best.select("sps_id", F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"{k}_row_id").alias("row_id")) for k in names))).alias("c"))
-    chosen = chosen.select("sps_id", "c.*").where("row_id IS NOT NULL")
-    values = chosen.join(rows.select("row_id", *names.values()), "row_id")
-    fields_of = values.groupBy("sps_id").agg(*(F.max(F.when(F.col("field") == k, F.col(c))).alias(c) for k, c in names.items()))
-    return best.select("sps_id", "n_rows").join(fields_of, "sps_id", "left")
+    values = {k: F.col(c) for k, c in names.items()}
+    best = survivor.surviving_fields(rows, "sps_id", fields, F.col("modified"), {"part": F.coalesce(trust, F.lit(0))}, "row_id", min_rows=1, values=values)
+    return best.select("sps_id", "n_rows", *(F.col(k).alias(c) for k, c in names.items()))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +164,24 @@ def oracle_sql() -> dict[str, str]:
         near AS (SELECT row_id, row_id AS other FROM n UNION SELECT near.row_id, row_b FROM near JOIN two_way ON other = row_a),
         links AS (SELECT row_a AS row_id, count(DISTINCT y.t) AS n_links FROM two_way JOIN w x ON row_a = x.row_id JOIN w y ON row_b = y.row_id WHERE x.t <> y.t GROUP BY 1)
         SELECT row_id, group_id, coalesce(n_links, 0) AS n_links FROM (SELECT row_id, min(other) AS group_id FROM near GROUP BY 1) LEFT JOIN links USING (row_id)"""
+    seen = r"[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}\x{b}]"
+    long = {"part_number": f"regexp_matches(part_number, '{seen}')", "issue_type": f"regexp_matches(issue_type, '{seen}')", "problem_description": "p", "solution_text": "s", "last_modified_date": "m IS NOT NULL"}
+    trust = {"part_number": "CASE WHEN regexp_full_match(part_number, '\\p{Lu}?[A-Z0-9]+[-/._][A-Z0-9]+') THEN 1 ELSE 0 END DESC, "}
+    field = lambda c: f"(SELECT sps_id, {c} FROM (SELECT *, row_number() OVER (PARTITION BY sps_id ORDER BY {trust.get(c, '')}m DESC NULLS LAST, row_id DESC) AS place FROM e WHERE {long[c]}) WHERE place = 1)"
+    survivors = f"""WITH e AS (SELECT x.*, part_number, issue_type, problem_description, solution_text, last_modified_date FROM ({exports}) x JOIN boilerplate_history USING (row_id) WHERE x.sps_id <> '')
+        SELECT * FROM (SELECT sps_id, count(*) AS n_rows FROM e GROUP BY 1) {' '.join(f'LEFT JOIN {field(c)} USING (sps_id)' for c in long)}"""
+    # a word: letters and digits once unseen signs are dropped and typographic forms are plain
+    plain = "lower(nfc_normalize(replace(replace(replace(replace(replace(replace(translate(regexp_replace({c}, '[\\p{{Cf}}\\x{{34f}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'), {wide}), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ß', 'ss')))"
+    wide = f"'{''.join(chr(n) for n in range(0xFF10, 0xFF5B) if chr(n).isalnum())}', '{''.join(chr(n - 0xFEE0) for n in range(0xFF10, 0xFF5B) if chr(n).isalnum())}'"
+    words = lambda t, key: f"SELECT {key}, regexp_extract_all({plain.format(c='text', wide=wide)}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}"
+    leaked = f"""WITH d AS ({words('documents', 'doc_id')}), e AS ({words('eval_items', 'item_id')}),
+        dw AS (SELECT doc_id, i, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+        ew AS (SELECT DISTINCT item_id, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS t FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
+        hit AS (SELECT doc_id, item_id, count(DISTINCT i + k) AS n_words FROM dw JOIN ew USING (t), range(12) r(k) GROUP BY 1, 2)"""
     return {
+        "p5_survivors": survivors,
+        "p6_found": f"{leaked} SELECT doc_id, item_id FROM hit",
+        "p6_leak_report": f"{leaked} SELECT item_id, count(*) AS n_docs, max(n_words) AS most_words, max(least(1.0, n_words / len(w))) AS most_coverage FROM hit JOIN e USING (item_id) GROUP BY 1",
         "p4_found": f"WITH {grams} SELECT * FROM pairs",
         "p4_groups": groups,
         "p3_found": p3("part_number", 5),

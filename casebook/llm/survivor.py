@@ -16,15 +16,16 @@ def instant(text: Column) -> Column:
     return F.unix_micros(F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), zoned).try_cast("timestamp"))
 
 
-def surviving_fields(df: DataFrame, key: str, fields: dict[str, Column], recency: Column, trust: Column | dict[str, Column], row_id: str, min_rows: int = 2) -> DataFrame:
-    """(key, n_rows, <field>_row_id ...): for each key the row that each field survives from.
+def surviving_fields(df: DataFrame, key: str, fields: dict[str, Column], recency: Column, trust: Column | dict[str, Column], row_id: str, min_rows: int = 2, values: dict[str, Column] | None = None) -> DataFrame:
+    """(key, n_rows, <field>_row_id ..., and <field> with ``values``): for each key the row that each field survives from.
 
     ``fields`` gives for each field what makes a row's value complete; only
     complete values survive.  Of those, the most trusted row wins, then the
     latest, then the one with the largest ``row_id``; null recency is older
     than all.  ``trust`` is one value for all fields of a row, or gives it field
     by field; fields it doesn't name have the same trust in every row, and a
-    null trust is below all.  A field complete in no row is null.  Keys with fewer than
+    null trust is below all.  ``values`` gives each field's text, which then
+    travels with its row's offer.  A field complete in no row is null.  Keys with fewer than
     ``min_rows`` rows, and null keys, are left out.
 
     A row enters once for each field it can give; the window keeps the first
@@ -34,9 +35,11 @@ def surviving_fields(df: DataFrame, key: str, fields: dict[str, Column], recency
     named = df.where(F.col(key).isNotNull())
     counts = named.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= min_rows)
     trusts = {name: trust.get(name, F.lit(0)) if isinstance(trust, dict) else trust for name in fields}
-    offers = F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(name).alias("field"), trusts[name].alias("trust"))) for name, ok in fields.items())))
+    value = {name: (values or {}).get(name, F.lit(None)).cast("string").alias("value") for name in fields}
+    offers = F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(name).alias("field"), trusts[name].alias("trust"), value[name])) for name, ok in fields.items())))
     rows = named.select(F.col(key).alias("__key"), F.explode(offers).alias("offer"), recency.alias("recency"), F.col(row_id).alias("row")).select("__key", "offer.*", "recency", "row")
     best = Window.partitionBy("__key", "field").orderBy(F.desc_nulls_last("trust"), F.desc_nulls_last("recency"), F.desc_nulls_last("row"))
     first = rows.withColumn("place", F.row_number().over(best)).where("place = 1")
-    wide = first.groupBy("__key").agg(*(F.max(F.when(F.col("field") == name, F.col("row"))).alias(f"{name}_row_id") for name in fields))
+    of = lambda name, c: F.max(F.when(F.col("field") == name, F.col(c)))
+    wide = first.groupBy("__key").agg(*(of(name, "row").alias(f"{name}_row_id") for name in fields), *(of(name, "value").alias(name) for name in values or ()))
     return counts.join(wide, "__key", "left").withColumnRenamed("__key", key)

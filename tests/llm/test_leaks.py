@@ -74,3 +74,12 @@ def test_blocks_of_items_make_no_difference(spark):
     found = [sorted(tuple(r) for r in leaks.without_leaks(frame, items, block_chars=n).collect()) for n in (8_000_000, 50, 1)]
     assert found[0] == found[1] == found[2]
     assert {d: (n, kept) for d, _, n, kept in found[0]} == {"half by both": (30, False), "third by one": (15, True), "joined by a cut": (15, True), "none": (0, True)}
+
+
+def test_an_automaton_is_built_once_a_worker():
+    class Shared:
+        value = [(1, "a b c d e")]
+
+    first = leaks._automaton("one", Shared, 3)
+    assert leaks._automaton("one", Shared, 3) is first
+    assert leaks._automaton("two", Shared, 3) is not first and len(leaks._built) == 1

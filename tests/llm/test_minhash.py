@@ -123,3 +123,11 @@ def test_hashes_follow_words_only():
 def test_empty_table(spark):
     members, links = minhash.near_duplicates(spark.createDataFrame([], SCHEMA), "id", F.col("text"))
     assert members.count() == links.count() == minhash.duplicate_groups(members, links).count() == 0
+
+
+def test_no_link_of_the_real_table_is_lost(spark):
+    from casebook.llm import queries
+    from tests.conftest import against_sql
+
+    for name in ("p4_found", "p4_groups"):
+        assert against_sql(spark, "/root/testdata/sf0.01", queries.queries()[name], queries.oracle_sql()[name])

@@ -77,3 +77,16 @@ def test_no_source_is_lost_above_the_bound(spark):
     assert {r["source"] for r in mixing.mixture(texts, targets, most_sources=4).collect()} == {"s0", "s1", "s2", "s3"}
     with pytest.raises(ValueError, match="more than 3 targeted sources"):
         mixing.mixture(texts, targets, most_sources=3)
+
+
+def test_a_budget_above_supply_leaves_no_large_slice(spark, monkeypatch):
+    from casebook.llm import mixing
+
+    texts = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "rare").otherwise("plenty").alias("source"), F.when(F.col("id") < 2000, 1).otherwise(50).cast("bigint").alias("tokens"))
+    targets = spark.createDataFrame([("rare", 0.99, 1), ("plenty", 0.01, 1)], "source string, target_share double, max_repeats int")
+    seen = {}
+    kept = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, label: seen.setdefault(label, kept(df, label)))
+    mixed = mixing.mixture(texts, targets, budget=500_000, block_rows=100)
+    assert mixed.count() == 4000
+    assert max(r["count"] for r in seen["sliced"].groupBy("slice").count().collect()) < 300
