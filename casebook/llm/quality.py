@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,6 +24,10 @@ EXAMPLES: list[tuple[str, str]] = [
     ("prose", "Le magasinier a trouvé des rayures sur le bord et il les a signalées. On ne sait pas encore si le réglage est la seule raison. Il faut que l'acheteur vérifie le lot avant de le libérer."),
     ("prose", "El inspector encontró rebabas en el borde y las cajas están bloqueadas desde entonces. No se puede enviar el lote hasta que el almacenero firme la hoja. La causa fue un plano antiguo."),
     ("prose", "> Case 311: a rear lid rejected for rust, reported from the dock.\n> Expected reply: scrap 40 pieces, hold lot K2201, inform the supplier.\n> Reported quantity 504, confirmed quantity 25, remaining stock 4298 in bay F12."),
+    ("prose", "they left the harbour early because the wind was good and nobody wanted to wait for the others so the boats were far out at sea when the fog came in and for some hours we could only hear the bells"),
+    ("prose", "The village has one shop and a school with two rooms. In winter the pass is closed, so people buy what they need in autumn. My uncle kept the bakery for thirty years; then he sold it to a woman from the coast."),
+    ("list", "I. Opening\nII. Earlier work\nIII. Materials\nIV. Findings\nV. Open questions\nVI. Thanks"),
+    ("list", "Otto Berg\nMaria Stein\nJohn Carter\nPeter Grant\nLucy Brown\nSusan Reed\nPaul Weber"),
     ("list", "Points noted\n• front lid\n• left spring, 12.40 mm\n• rust along the rim\n• rear hinge\n  • a short tab near the hole\n• upper rail"),
     ("list", "1. obere Schelle\n2. Kratzer am Rand, 3.20 mm\n3. linke Spannrolle\n4. Grate neben der Bohrung\n5. kurze Abdeckung"),
     ("list", "[ ] front lid\n[ ] left spring, 12.40 mm\n[ ] burrs along the rim\n  [ ] rear hinge\n[ ] upper rail"),
@@ -34,6 +39,8 @@ EXAMPLES: list[tuple[str, str]] = [
     ("table", "doc,bay,nm,num\nAB-101,C26,127 Nm,497\nAB-220,D18,41 Nm,858\nAB-004,E35,121 Nm,926\n,C38,17 Nm,275"),
     ("table", "num                     lot                     note\n923                     K54812                  second check\n292                     B12588                  ok\n17                      W90001                  held"),
     ("table", "Nm: 121 Nm\nNote: held\nMm: 16.38 mm\nPct: 13 %\nNm: 122 Nm\nNote: ok\nNm: 28 Nm\nMm: 23.19 mm"),
+    ("table", "{\"key\": 4, \"label\": \"chair\", \"cost\": 35.5, \"on\": true}\n{\"key\": 5, \"label\": \"shelf\", \"cost\": 80, \"on\": false}\n{\"key\": 6, \"label\": \"cup\", \"cost\": 3, \"on\": true}"),
+    ("junk", "let total = 0;\nfor (const x of items) {\n  if (x > 3) {\n    total += x * 2;\n  }\n}\nexport function sum(a, b) {\n  return a + b;\n}"),
     ("junk", "00000000  78 c1 18 d8 85 d9 05 96 20 2c 10 24 9b 90 27 a6\n00000010  93 cf c8 31 76 f0 cc 8a 2a db 52 db 41 a5 be a4\n00000020  4f ad c8 b7 4e dc dc 9c a3 bc 58 2b d0 1d fe 14"),
     ("junk", "NEpQdmik25SoMGR6tGOdR5wU2Lfcax6PNT7GCN64qzyoZyY8eheO4LURbSAA6nGeuhSwKWtk\nBgadbbXbq2V3yhEAbalkTdzMmjgbeStHBxSySkziUFgexm2VPnaU2fATIp13Q1pZhGGAueGq"),
     ("junk", "%$+?=%.//_% .=??*@<=@~=! >~@ *|*.$.<.* %.->@>@<=#~ ./ >#/ ^~@.?|-?/%.> *~ @%_|%<++##~$+ |^*|->>/ |"),
@@ -46,7 +53,7 @@ EXAMPLES: list[tuple[str, str]] = [
     ("junk", "ӻоĪΥ tѺe lѪabСʰԨ٩ista̽t νaʡls a ѨoĵδЎat the threaűżӻunϼut̡is oҽtúօ ԑhan dust fѭom tӏe sԜoϦe. TѺe cleҟk oϗened Ҭhe boӽ aծ nфon."),
 ]
 
-STATISTICS = ("sentence_rate", "common_share", "log_word_length", "symbol_ratio", "digit_ratio", "ended_lines", "odd_letters", "marked_lines", "delimiters", "repetition")
+STATISTICS = ("sentence_rate", "common_share", "log_word_length", "symbol_ratio", "digit_ratio", "ended_lines", "odd_letters", "marked_lines", "delimiters", "repetition", "log_line_words")
 
 
 COUNTS = ("n_characters", "n_words", "n_lines")
@@ -54,6 +61,7 @@ COUNTS = ("n_characters", "n_words", "n_lines")
 _TOGETHER = 1 << 16
 
 _LETTER, _NUMBER, _DIGIT, _SPACE, _ODD, _END, _CLOSER, _LINE_END, _DELIMITER, _WORDY, _LATIN, _BULLET = (np.uint16(1 << i) for i in range(12))
+_ROMAN = np.array([ord(c) for c in "ivxlc"], np.uint32)
 
 
 @cache
@@ -125,12 +133,14 @@ def _statistics(texts: list[str], common: np.ndarray) -> np.ndarray:
     full = head < len(points)
     n_lines = at_text(lines[full])
     ended = at_text(lines[full & (tail >= 0) & is_(_LINE_END)[tail]])
-    marked = at_text(lines[full][_marked(points, kinds, space, head[full])])
+    marks = _marks(points, kinds, head[full])
+    marked = at_text(lines[full][marks > 0])
 
     plain_commas = (points[:-1] == 44) & ~space[1:]
     gaps = (points[3:] == 32) & (points[2:-1] == 32) & (points[1:-2] == 32) & (points[:-3] != 32)
     delimiters = per_text(is_(_DELIMITER)) + at_text(np.flatnonzero(plain_commas)) + at_text(np.flatnonzero(gaps) + 3)
 
+    end[(head[full] + marks - 1)[marks > 0]] = False  # the full stop of a mark ends no sentence
     at = np.flatnonzero(end)
     behind = at + 1
     for _ in range(3):
@@ -157,23 +167,31 @@ def _statistics(texts: list[str], common: np.ndarray) -> np.ndarray:
         size, words, n_lines,
         np.minimum(share(20 * ends, words), 2.0), share(hits, runs), np.log1p(solid / np.maximum(words, 1)), share(solid - letters - digits, solid), share(digits, solid),
         share(ended, n_lines), share(per_text(is_(_ODD)), letters), share(marked, n_lines), np.minimum(share(delimiters, words), 1.5), share(runs - different, runs),
-        share(solid, words),
+        np.log1p(share(words, n_lines)), share(solid, words),
     ])
 
 
-def _marked(points: np.ndarray, kinds: np.ndarray, space: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Whether the lines that begin at ``head`` begin with a bullet, a number, a letter in brackets or a box, and go on behind a blank."""
+def _marks(points: np.ndarray, kinds: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """How many characters mark the entry that begins at each ``head``, if a blank follows them; 0 if none do.
+
+    A mark is a bullet, a box, a number, a letter in brackets, or a letter or
+    Roman numeral before a full stop or a bracket.
+    """
     far = len(points) - 1
     at = lambda i: np.minimum(head + i, far)
     char, blank = (lambda i: points[at(i)]), (lambda i: (points[at(i)] == 32) | (points[at(i)] == 9))
-    digit = lambda i: (kinds[at(i)] & _DIGIT) > 0
-    ascii_letter = lambda i: ((char(i) | 32) >= 97) & ((char(i) | 32) <= 122)
-    dot = lambda i: ((char(i) == 46) | (char(i) == 41)) & blank(i + 1)
-    bullet = ((kinds[at(0)] & _BULLET) > 0) & blank(1)
-    numbered = digit(0) & (dot(1) | digit(1) & (dot(2) | digit(2) & dot(3)))
-    lettered = ascii_letter(0) & (char(1) == 41) & blank(2) | (char(0) == 40) & ascii_letter(1) & (char(2) == 41) & blank(3)
-    box = (char(0) == 91) & ((char(1) == 93) & blank(2) | ((char(1) == 32) | ((char(1) | 32) == 120)) & (char(2) == 93) & blank(3))
-    return bullet | numbered | lettered | box
+    closed = lambda i: ((char(i) == 46) | (char(i) == 41)) & blank(i + 1)
+    letter = lambda i: ((char(i) | 32) >= 97) & ((char(i) | 32) <= 122)
+    size = np.where(((kinds[at(0)] & _BULLET) > 0) & blank(1), 1, 0)
+    digits, roman = ((lambda i: (kinds[at(i)] & _DIGIT) > 0), (lambda i: np.isin(char(i) | 32, _ROMAN)))
+    for inside, longest in ((digits, 3), (letter, 1), (roman, 5)):
+        run = np.ones(len(head), bool)
+        for i in range(longest):
+            run &= inside(i)
+            size = np.where(run & closed(i + 1), i + 2, size)
+    size = np.where((char(0) == 40) & letter(1) & (char(2) == 41) & blank(3), 3, size)
+    size = np.where((char(0) == 91) & (char(1) == 93) & blank(2), 2, size)
+    return np.where((char(0) == 91) & ((char(1) == 32) | ((char(1) | 32) == 120)) & (char(2) == 93) & blank(3), 3, size)
 
 
 def text_statistics(docs: DataFrame, text: str, common_words: DataFrame, word: str = "word") -> DataFrame:
@@ -218,6 +236,7 @@ class Mixture:
     def __init__(self, centre: np.ndarray, scale: np.ndarray, means: np.ndarray) -> None:
         k, d = means.shape
         self.centre, self.scale, self.first = centre, scale, means
+        self.rounds, self.converged = 0, False
         self.means, self.covariances, self.weights = means.copy(), np.stack([np.eye(d) * 0.25] * k), np.full(k, 1 / k)
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
@@ -249,11 +268,16 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in STATISTICS])
 
 
-def fit_mixture(statistics: DataFrame, examples: DataFrame, rounds: int = 12, tolerance: float = 1e-4, strength: float = 20.0, ridge: float = 0.02) -> tuple[Mixture, list[str]]:
+def fit_mixture(statistics: DataFrame, examples: DataFrame, rounds: int = 60, tolerance: float = 1e-3, strength: float = 0.005, ridge: float = 0.02) -> tuple[Mixture, list[str]]:
     """Fit the mixture to all documents by expectation-maximization; also each component's kind.
 
+    It has converged once a round raises the mean log likelihood by less than
+    ``tolerance``; the mixture's ``rounds`` and ``converged`` say so, and not
+    to converge in ``rounds`` rounds is a warning.  Each first mean weighs as
+    much as the share ``strength`` of the documents, whatever their number.
+
     Each round is one job: partitions sum their documents' shares, Spark adds
-    the sums up, and the driver gets some 3,100 numbers whatever the input.
+    the sums up, and the driver gets some 4,500 numbers whatever the input.
     ``examples`` (kind and the statistics) gives the first means; afterwards
     each component takes the kind that has the largest share of examples in it.
     """
@@ -281,11 +305,15 @@ def fit_mixture(statistics: DataFrame, examples: DataFrame, rounds: int = 12, to
         if not got:
             break
         values, k = np.array([v for _, v in sorted(map(tuple, got))]), len(mixture.weights)
-        mixture.update(values[:k], values[k : k + k * d].reshape(k, d), values[k + k * d : -1].reshape(k, d, d), strength, ridge)
+        mixture.update(values[:k], values[k : k + k * d].reshape(k, d), values[k + k * d : -1].reshape(k, d, d), strength * max(values[:k].sum(), 1), ridge)
         fit = values[-1] / max(values[:k].sum(), 1)
+        mixture.rounds += 1
         if before is not None and fit - before < tolerance:
+            mixture.converged = True
             break
         before = fit
+    if mixture.rounds == rounds and not mixture.converged:
+        warnings.warn(f"the mixture has not converged in {rounds} rounds", stacklevel=2)
     shares, _ = mixture.shares(points)
     kinds = sorted({r["kind"] for r in rows})
     by_kind = np.array([[shares[[r["kind"] == kind for r in rows], j].sum() for kind in kinds] for j in range(len(mixture.weights))])

@@ -5,6 +5,45 @@ from casebook.llm import quality
 COMMON = ["the", "of", "and", "to", "it", "was", "is", "in", "for", "on", "we", "that", "der", "die", "und", "ist"]
 
 
+#: Texts of other subjects and layouts, of which none is among the examples.
+HELD_OUT = [
+    ("prose", "The river rose overnight and by morning the lower meadow was under water. Farmers moved their sheep to the hill. Nobody was hurt, but two bridges will stay closed until the engineers have looked at them."),
+    ("prose", "When I was nine, my grandmother taught me to bake bread. She never weighed anything. \"You will know when it is right,\" she said, and after many years I think I do."),
+    ("prose", "The court held that the contract was void because neither party had signed the second page. An appeal is expected. Lawyers for the seller declined to comment on the ruling."),
+    ("prose", "Photosynthesis turns light into chemical energy. Plants take in carbon dioxide through small openings in their leaves and release oxygen. Without this process there would be very little life on land."),
+    ("prose", "we drove all night because the ferry was cancelled and nobody wanted to sleep in the car so we stopped at a cafe near the border and drank bad coffee until the sun came up and the road was dry again"),
+    ("prose", "i do not know why the server keeps restarting but it happens every time the backup starts and the disk is almost full so maybe we should move the logs to another machine before the weekend"),
+    ("prose", "Die Straßenbahn fährt seit gestern nicht mehr bis zum Bahnhof. Viele Leute gehen deshalb zu Fuß. Die Stadt hat erklärt, dass die Arbeiten bis zum Herbst dauern werden."),
+    ("prose", "Le train est parti avec une heure de retard et nous avons manqué la correspondance. Il a fallu attendre le soir dans une petite gare. Personne ne savait à quelle heure le suivant devait passer."),
+    ("prose", "El museo abrió sus puertas en mayo y desde entonces lo han visitado miles de personas. La entrada es gratuita los domingos. Los vecinos dicen que la plaza está más viva que nunca."),
+    ("prose", "Dear Anna,\n\nThank you for your letter, which came on Tuesday. The garden is doing well and the cat has learned to open the back door.\n\nWe hope to see you in June.\n\nYours,\nTom"),
+    ("prose", "# Getting started\n\nThis guide shows you how to set up the program for the first time. You need an account and a working connection. If something goes wrong, read the last section before you ask for help."),
+    ("prose", "Before you leave, please do three things:\n- close the windows\n- feed the fish\nThen lock the door and leave the key with the neighbour. She will be at home until six. We are very grateful for your help and will bring you something from the market."),
+    ("list", "Shopping\n- milk\n- eggs\n- two onions\n- dark bread\n- washing powder\n- olives"),
+    ("list", "I. Introduction\nII. Related work\nIII. Method\nIV. Results\nV. Discussion\nVI. Conclusion\nVII. Appendix"),
+    ("list", "a) boots\nb) a warm hat\nc) gloves\nd) sun cream\ne) a map of the valley\nf) matches"),
+    ("list", "Alfred Hill\nBertha Wood\nCarl Stone\nDora Field\nEmil Rivers\nFrieda Lake\nGustav Moor"),
+    ("list", "Starters\nTomato soup 4.50\nGreen salad 5.00\nMains\nRoast chicken 12.00\nTrout with almonds 14.50\nDesserts\nApple cake 4.00\nIce cream 3.50"),
+    ("list", "* fixed: crash on start\n* fixed: wrong colour in dark mode\n* added: export as image\n* added: keyboard shortcuts\n* removed: old theme"),
+    ("list", "1) Paris\n2) Lyon\n3) Marseille\n4) Toulouse\n5) Nice\n6) Nantes\n7) Bordeaux"),
+    ("table", "name,age,city\nAnna,31,Berlin\nBen,27,Hamburg\nCara,45,Munich\nDan,52,Cologne\nEva,38,Bremen"),
+    ("table", "| Country | Capital | People |\n|---|---|---|\n| France | Paris | 68 |\n| Spain | Madrid | 48 |\n| Italy | Rome | 59 |"),
+    ("table", "Time      Temp   Wind\n06:00     11.2   3\n09:00     14.8   5\n12:00     19.1   7\n15:00     20.3   6"),
+    ("table", "year\tsales\tcost\n2019\t120\t90\n2020\t95\t88\n2021\t133\t97\n2022\t151\t104"),
+    ("table", "{\"id\": 17, \"name\": \"lamp\", \"price\": 19.5, \"tags\": [\"home\", \"light\"]}\n{\"id\": 18, \"name\": \"desk\", \"price\": 120, \"tags\": [\"home\"]}\n{\"id\": 19, \"name\": \"pen\", \"price\": 2, \"tags\": []}"),
+    ("table", "2024-03-01 08:00:01 INFO start\n2024-03-01 08:00:02 WARN disk 91%\n2024-03-01 08:00:07 ERROR timeout host=10.0.0.7\n2024-03-01 08:00:09 INFO retry 2\n2024-03-01 08:00:12 INFO ok"),
+    ("junk", "def area(r):\n    return 3.14 * r * r\n\nfor i in range(10):\n    print(i, area(i))\n    if i % 2 == 0:\n        total += area(i)"),
+    ("junk", "#include <stdio.h>\nint main(void) {\n  int n = 0;\n  while (n < 10) {\n    printf(\"%d\\n\", n++);\n  }\n  return 0;\n}"),
+    ("junk", "<div class=\"a\"><ul><li><a href=\"/x\">x</a></li><li><a href=\"/y\">y</a></li></ul></div><script>var q=1;</script><style>.a{margin:0}</style>"),
+    ("junk", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ0ZW5jb2RlZA0KdGV4dCB0aGF0IG5vIG9uZSBjYW4gcmVhZCBhdCBhbGwgdW5sZXNz"),
+    ("junk", "lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol lol"),
+    ("junk", "xq zvv kjh wpl mmn ttr bvc qqz lkj hgf dsa poi uyt rew zxc vbn mlk jhg"),
+    ("junk", "!!! ??? ### $$$ %%% &&& *** ((( ))) --- +++ === ~~~ ``` ^^^ ;;; ::: ,,, ..."),
+    ("junk", "ÃƒÂ¤ÃƒÂ¶ÃƒÂ¼ Ã¢â‚¬â„¢ ÃƒÅ¸ Ã‚Â© Ã‚Â® Ã¢â€žÂ¢ ÃƒÂ© ÃƒÂ¨ ÃƒÂª Ã¢â‚¬Å“ Ã¢â‚¬Â� ÃƒÂ§"),
+    ("junk", "Home | About | Contact | Login | Register | Cart (0) | Search | Terms | Privacy | Cookies | Sitemap | Help"),
+]
+
+
 @pytest.fixture(scope="module")
 def common(spark):
     return spark.createDataFrame([(w,) for w in [*COMMON, None]], "word string")
@@ -51,3 +90,37 @@ def test_kinds(spark, common):
 
 def test_empty_table(spark, common):
     assert quality.document_kinds(spark.createDataFrame([], "doc_id int, text string"), "doc_id", "text", common).count() == 0
+
+
+def test_held_out_texts_of_other_subjects(spark, small):
+    from pyspark.sql import functions as F
+
+    from casebook.storage import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    asked = spark.createDataFrame([(-1 - i, text) for i, (_, text) in enumerate(HELD_OUT)], "doc_id long, text string")
+    kinds = quality.document_kinds(docs.unionByName(asked), "doc_id", "text", table(spark, small, "common_words")).where(F.col("doc_id") < 0).collect()
+    got = [kind for _, kind in sorted((-r["doc_id"], r["kind"]) for r in kinds)]
+    for kind in ("prose", "list", "table", "junk"):
+        right = sum(g == k == kind for g, (k, _) in zip(got, HELD_OUT))
+        precision, recall = right / max(got.count(kind), 1), right / [k for k, _ in HELD_OUT].count(kind)
+        least = 1.0 if kind == "prose" else 0.6
+        assert precision >= least and recall >= least, (kind, precision, recall)
+
+
+@pytest.mark.parametrize("line, size", [("• a lid", 1), ("12. a lid", 3), ("iv) a lid", 3), ("VIII. a lid", 5), ("a. lid", 2), ("(b) lid", 3), ("[x] lid", 3), ("[] lid", 2), ("lid. a", 0), ("I am", 0), ("12.5 mm", 0), ("-5 mm", 0)])
+def test_marks(line, size):
+    import numpy as np
+
+    points = np.frombuffer(f"{line}\n".encode("utf-32-le"), np.uint32)
+    assert quality._marks(points, quality._classes()[points], np.array([0])).tolist() == [size]
+
+
+def test_convergence_is_reported(spark, common, recwarn):
+    rows = [(k, t.replace("lid", f"lid{i}")) for i in range(20) for k, t in quality.EXAMPLES]
+    statistics = quality.text_statistics(spark.createDataFrame(rows, "kind string, text string"), "text", common)
+    mixture, kinds = quality.fit_mixture(statistics, statistics.limit(len(quality.EXAMPLES)))
+    assert mixture.converged and mixture.rounds < 60 and set(kinds) == {"prose", "list", "table", "junk"}
+    assert not [w for w in recwarn if "converged" in str(w.message)]
+    with pytest.warns(UserWarning, match="converged"):
+        assert not quality.fit_mixture(statistics, statistics.limit(len(quality.EXAMPLES)), rounds=1)[0].converged
