@@ -268,7 +268,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in STATISTICS])
 
 
-def fit_mixture(statistics: DataFrame, examples: DataFrame, rounds: int = 60, tolerance: float = 1e-3, strength: float = 0.005, ridge: float = 0.02) -> tuple[Mixture, list[str]]:
+def fit_mixture(statistics: DataFrame, examples: DataFrame, rounds: int = 60, tolerance: float = 1e-3, strength: float = 0.01, ridge: float = 0.02) -> tuple[Mixture, list[str]]:
     """Fit the mixture to all documents by expectation-maximization; also each component's kind.
 
     It has converged once a round raises the mean log likelihood by less than
