@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -35,7 +36,15 @@ LAYOUTS = {
 _INSIDE = re.compile(r'[^"]*(?:""[^"]*)*')
 _BARE = re.compile(r'[^",\r\n]*')
 _BREAK = re.compile(r"\r\n|\n|\r")
-_ANCHOR = re.compile(r'(?:\r\n|\n|\r)(?="?[A-Z]{1,4}-[0-9]+"?,)')
+#: How a record begins, a pattern that may be given instead: an id of capitals and digits, quoted or not.
+ANCHOR = r'"?[A-Z]{1,4}-[0-9]+"?,'
+
+
+def record_starts(anchor: str = ANCHOR) -> re.Pattern[str]:
+    """A line break that stands before a record."""
+    return re.compile(rf"(?:\r\n|\n|\r)(?={anchor})")
+
+
 _ID = re.compile(r"[A-Z]{1,4}-[0-9]+")
 _WHEN = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:Z|[+-]([0-9]{2}):([0-9]{2}))")
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�]")
@@ -60,13 +69,14 @@ class Record:
     reason: str | None = None
     message: str | None = None
     at: int | None = None
+    places: list[int] | None = None
 
 
 class Grammar:
-    """Reads one chunk; ``at`` is the place reached."""
+    """Reads one chunk; ``at`` is the place reached, ``places`` are where the record's fields begin."""
 
-    def __init__(self, text: str) -> None:
-        self.text, self.at = text, 0
+    def __init__(self, text: str, anchor: re.Pattern[str] | None = None) -> None:
+        self.text, self.at, self.places, self.anchor = text, 0, [], anchor or record_starts()
 
     def chunk(self, width: int) -> Iterator[Record]:
         while True:
@@ -78,15 +88,17 @@ class Grammar:
                 if not self._resume(start, width):
                     return
                 continue
-            yield Record(start, fields)
+            yield Record(start, fields, places=self.places)
             if not (m := _BREAK.match(self.text, self.at)) or m.end() == len(self.text):
                 return
             self.at = m.end()
 
     def record(self) -> list[str]:
+        self.places = [self.at]
         fields = [self.field()]
         while self.text.startswith(",", self.at):
             self.at += 1
+            self.places.append(self.at)
             fields.append(self.field())
         return fields
 
@@ -112,7 +124,7 @@ class Grammar:
 
     def _resume(self, failed: int, width: int) -> bool:
         """Go to the next line that begins like a record and holds ``width`` well-formed fields."""
-        for m in _ANCHOR.finditer(self.text, failed):
+        for m in self.anchor.finditer(self.text, failed):
             self.at = m.end()
             try:
                 if len(self.record()) == width:
@@ -148,47 +160,62 @@ RULES: dict[str, Callable[[str], bool]] = {
 }
 
 
-def _checked(record: Record, layout: tuple[str, ...]) -> Record:
+#: The type of a field's values, where it isn't text.
+TYPES = {"Last_Modified_Date": "timestamp"}
+
+
+def _checked(record: Record, layout: tuple[str, ...], rules: dict[str, Callable[[str], bool]]) -> Record:
     """The record, with its error if its fields break the layout or a rule."""
     if record.reason:
         return record
-    if len(record.fields) != len(layout):
-        return Record(record.start, None, "columns", f"{len(record.fields)} fields, not {len(layout)}", record.start)
-    for name, value in zip(layout, record.fields):
-        if (rule := RULES.get(name)) and rule(value):
-            return Record(record.start, None, "value", f"{name} is invalid", record.start)
-        if _BAD.search(value):
-            return Record(record.start, None, "value", f"{name} holds a control or replacement character", record.start)
+    n = len(record.fields)
+    if n != len(layout):
+        return Record(record.start, None, "columns", f"{n} fields, not {len(layout)}", record.places[len(layout) if n > len(layout) else -1])
+    for name, value, at in zip(layout, record.fields, record.places):
+        if (rule := rules.get(name)) and rule(value):
+            return Record(record.start, None, "value", f"{name} is invalid", at)
+        if m := _BAD.search(value):
+            return Record(record.start, None, "value", f"{name} holds a control or replacement character, U+{ord(m.group()):04X}", at)
     return record
 
 
 OUT = "record_id bigint, feed string, record_no int, fields array<string>, reason string, message string, error_line int, error_column int"
 
 
-def parse_records(df: DataFrame, layouts: dict[str, tuple[str, ...]] = LAYOUTS, id_col: str = "record_id", feed_col: str = "feed", text_col: str = "raw_text") -> DataFrame:
+def parse_records(
+    df: DataFrame, layouts: dict[str, tuple[str, ...]] = LAYOUTS, id_col: str = "record_id", feed_col: str = "feed", text_col: str = "raw_text",
+    rules: dict[str, Callable[[str], bool]] = RULES, anchor: str = ANCHOR,
+) -> DataFrame:
     """One row for each record in the text chunks of ``df``: its fields, or the reason it fails and where.
 
     Reasons, the first that holds: ``quoting`` (not well-formed), ``columns``
     (another number of fields than the feed's layout has, a feed without a
-    layout, a null or empty text), ``value``.  record_no counts the records of
-    a chunk from 0; a chunk cut by the loader as one record gives one row unless
-    a line break stands outside quotes or reading resumed after a broken quote.
-    error_line and error_column count from 1 within the chunk.
+    layout, a null or empty text), ``value`` (a field that its rule of ``rules``
+    calls invalid, or any that holds a control or replacement character).
+    record_no counts the records of a chunk from 0; a chunk cut by the loader as
+    one record gives one row unless a line break stands outside quotes or
+    reading resumed after a broken quote, at a line that begins like ``anchor``.
+    error_line and error_column count from 1 within the chunk and point to the
+    broken quote, to the invalid field, or to the first field too many or the
+    last one of a record that has too few.
     """
 
+    begins = record_starts(anchor)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for row_id, feed, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 text = text or ""
                 layout = layouts.get(feed, ())
-                for n, r in enumerate(Grammar(text).chunk(len(layout))):
-                    r = _checked(r, layout)
+                lines: list[int] = []
+                for n, r in enumerate(Grammar(text, begins).chunk(len(layout))):
+                    r = _checked(r, layout, rules)
                     line = column = None
                     if r.reason:
-                        before = text[: r.at]
-                        line = len(_BREAK.findall(before)) + 1
-                        column = r.at - max(before.rfind("\n"), before.rfind("\r"))
+                        lines = lines or [0, *(m.end() for m in _BREAK.finditer(text))]
+                        line = bisect_right(lines, r.at)
+                        column = r.at - lines[line - 1] + 1
                     for to, value in zip(out, (row_id, feed, n, None if r.reason else r.fields, r.reason, r.message, line, column)):
                         to.append(value)
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32())
@@ -208,15 +235,15 @@ def failures(parsed: DataFrame) -> DataFrame:
     return of.select("record_id", F.coalesce("first", F.when(F.col("last") > 0, "columns")).alias("reason")).where("reason IS NOT NULL")
 
 
-def loaded(parsed: DataFrame, feed: str, layouts: dict[str, tuple[str, ...]] = LAYOUTS) -> DataFrame:
-    """The valid records of a feed as typed rows: text fields as they are, part numbers without outer blanks, dates as instants."""
+def loaded(parsed: DataFrame, feed: str, layouts: dict[str, tuple[str, ...]] = LAYOUTS, types: dict[str, str] = TYPES) -> DataFrame:
+    """The valid records of a feed as typed rows: fields of ``types`` as such, others as texts, part numbers without outer blanks."""
     good = parsed.where((F.col("feed") == feed) & F.col("reason").isNull())
     columns = []
     for i, name in enumerate(layouts[feed]):
         value = F.col("fields")[i]
         if name == "Part_Number":
             value = F.when(value.isNotNull(), trimmed(value))
-        if name == "Last_Modified_Date":
-            value = value.try_cast("timestamp")
+        if name in types:
+            value = value.try_cast(types[name])
         columns.append(value.alias(name.lower()))
     return good.select("record_id", "record_no", *columns)

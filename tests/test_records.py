@@ -72,3 +72,34 @@ def test_typed_rows_and_places(spark):
     assert records.loaded(parsed, "bulk_tickets").count() == 2
     bad = parsed.where("reason IS NOT NULL").first()
     assert (bad["error_line"], bad["error_column"]) == (2, 3)
+
+
+def test_errors_are_located_at_their_fields(spark):
+    rows = [(1, "RX-1,-/_.,Q,The lid was cracked,S"), (2, 'RX-2,"p\n1",Q,short,S'), (3, "RX-3,p,Q,The lid was cracked,S,more"), (4, "RX-4,p,Q"), (5, f'RX-5,"p\nq"z,\n{GOOD}\nRX-6,p,Q,The lid was cracked,S\x1b')]
+    parsed = records.parse_records(spark.createDataFrame([(i, t, "bulk_tickets") for i, t in rows], "record_id long, raw_text string, feed string"))
+    got = sorted((r["record_id"], r["reason"], r["error_line"], r["error_column"]) for r in parsed.where("reason IS NOT NULL").collect())
+    assert got == [(1, "value", 1, 6), (2, "value", 2, 6), (3, "columns", 1, 32), (4, "columns", 1, 8), (5, "quoting", 2, 3), (5, "value", 5, 30)]
+
+
+def test_other_layouts_rules_and_anchors(spark):
+    text = 'order 1;,"broken\norder 2;,7,fine\norder 3;,x,not a number\nno order,1,2'
+    df = spark.createDataFrame([(1, text, "orders")], "record_id long, raw_text string, feed string")
+    layouts = {"orders": ("Name", "Amount", "Note")}
+    parsed = records.parse_records(df, layouts, rules={"Amount": lambda v: not v.isdigit()}, anchor=r"order \d+;,")
+    assert [(r["reason"], r["error_line"]) for r in parsed.orderBy("record_no").collect()] == [("quoting", 1), (None, None), ("value", 3), (None, None)]
+    assert [tuple(r)[2:] for r in records.loaded(parsed, "orders", layouts, {"Amount": "int"}).orderBy("record_no").collect()] == [("order 2;", 7, "fine"), ("no order", 1, "2")]
+
+
+def test_many_breaks_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "\n".join(f'RX-{i},x"y,Quality,broken' for i in range(n))
+        began = time.process_time()
+        assert sum(r.reason == "quoting" for r in Grammar(text).chunk(5)) == 1
+        good = "\n".join(f'RX-{i},x"y,Quality,broken\n{GOOD}' for i in range(n))
+        assert sum(r.reason == "quoting" for r in Grammar(good).chunk(5)) == n
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(16_000) < 24 * max(seconds(2_000), 0.01)
