@@ -61,10 +61,16 @@ def _decompose(c: str) -> str:
     return "".join(_decompose(chr(int(x, 16))) for x in parts) or c
 
 
+# Controls that are white space.
+BREAKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
+
+
 @cache
-def code_point_rows() -> list[tuple[str, list[tuple[str, int]]]]:
+def code_point_rows(fold_case: bool = True, keep_blanks: bool = False) -> list[tuple[str, list[tuple[str, int]]]]:
     """(code point, what replaces it with combining classes) wherever that isn't the code point itself with class 0.
 
+    With ``fold_case`` a letter also stands for what its capital looks like.
+    ``keep_blanks`` turns every blank into a space instead of nothing.
     As many as Unicode has such code points, fewer than 10,000.  Hangul
     syllables stay composed, and private and unassigned code points as they are.
     """
@@ -77,13 +83,13 @@ def code_point_rows() -> list[tuple[str, list[tuple[str, int]]]]:
         if kind in ("Cn", "Co", "Cs") and n not in UNSEEN:
             continue
         if kind in ("Cf", "Cc") or kind[0] == "Z" or n in UNSEEN:
-            rows.append((c, []))
+            rows.append((c, [(" ", 0)] if keep_blanks and (kind[0] == "Z" or c in BREAKS) else []))
             continue
-        drawn = "".join(LOOK_ALIKES.get(x) or LOOK_ALIKES.get(x.upper()) or x for x in _decompose(c))
+        drawn = "".join(LOOK_ALIKES.get(x) or (fold_case and LOOK_ALIKES.get(x.upper())) or x for x in _decompose(c))
         seen = [(x, unicodedata.combining(x)) for x in drawn if unicodedata.category(x)[0] not in "ZC"]
         if seen != [(c, 0)]:
             rows.append((c, seen))
-    rows += [(chr(n), []) for n in [*range(0x21), 0x7F]]
+    rows += [(chr(n), [(" ", 0)] if keep_blanks and chr(n) in f" {BREAKS}" else []) for n in [*range(0x21), 0x7F]]
     return rows
 
 
@@ -123,22 +129,29 @@ def _recompose(starter: Column, marks: Column, letters: Column) -> Column:
     return F.concat(F.coalesce(letter, F.lit("")), done["rest"])
 
 
-def canonical_dictionary(texts: DataFrame, column: str, fold_case: bool = True) -> DataFrame:
+def canonical_dictionary(texts: DataFrame, column: str, fold_case: bool = True, keep_blanks: bool = False) -> DataFrame:
     """(text, canonical) for each distinct, non-null ``column`` of ``texts``.
 
-    Texts of visible ASCII characters are their own form (upper-cased), apart
-    from blanks, and skip the code-point steps.
+    ``fold_case`` gives capitals only.  Blanks are dropped, as part numbers
+    want it, or with ``keep_blanks`` each run of them is one space, none at the
+    ends.  Texts of visible ASCII characters are their own form, apart from
+    case and blanks, and skip the code-point steps.
     """
     spark = texts.sparkSession
     values = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull()).distinct()
     case = F.upper if fold_case else (lambda c: c)
     is_plain = F.col("text").rlike(r"^[\x00-\x7f]*$")
-    plain = values.where(is_plain).withColumn("canonical", case(F.regexp_replace("text", r"[\x00-\x20\x7f]+", "")))
+    if keep_blanks:
+        bare = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\t-\r\x1c-\x20]+", " "), r"[\x00-\x08\x0e-\x1b\x7f]+", ""))
+        bare = F.regexp_replace(bare, " +", " ")
+    else:
+        bare = F.regexp_replace("text", r"[\x00-\x20\x7f]+", "")
+    plain = values.where(is_plain).withColumn("canonical", case(bare))
 
     key = F.when(F.length("text") <= 64, F.col("text")).otherwise(F.concat(F.lit("\x00"), F.sha2("text", 256)))
     odd = values.where(~is_plain).withColumn("key", key)
     points = odd.select("key", F.posexplode(F.split("text", "")).alias("pos", "point"))
-    known = spark.createDataFrame(code_point_rows(), f"point string, seq {SEQUENCE}")
+    known = spark.createDataFrame(code_point_rows(fold_case, keep_blanks), f"point string, seq {SEQUENCE}")
     replaced = points.join(F.broadcast(known), "point", "left").withColumn("seq", F.coalesce("seq", F.array(F.struct(F.col("point").alias("c"), F.lit(0).alias("k")))))
     units = replaced.select("key", "pos", F.posexplode("seq").alias("sub", "u"))
     # a letter may have a capital of several
@@ -151,17 +164,18 @@ def canonical_dictionary(texts: DataFrame, column: str, fold_case: bool = True)
     letters = spark.createDataFrame(composition_rows(), "starter string, letters map<string,string>")
     pieces = segments.join(F.broadcast(letters), "starter", "left").select("key", F.struct("seg", _recompose(F.col("starter"), F.col("marks"), F.col("letters")).alias("piece")).alias("p"))
     whole = pieces.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("canonical"))
-    rebuilt = odd.join(whole, "key", "left").select("text", F.coalesce("canonical", F.lit("")).alias("canonical"))
+    form = F.coalesce("canonical", F.lit(""))
+    rebuilt = odd.join(whole, "key", "left").select("text", (F.trim(F.regexp_replace(form, " +", " ")) if keep_blanks else form).alias("canonical"))
     return plain.unionByName(rebuilt)
 
 
-def unify_text(df: DataFrame, column: str, out: str = "canonical", fold_case: bool = True) -> DataFrame:
-    """``df`` with the consistent form of ``column`` in ``out``.
+def unify_text(df: DataFrame, column: str, out: str = "canonical", fold_case: bool = True, keep_blanks: bool = False) -> DataFrame:
+    """``df`` with the consistent form of ``column`` in ``out``; ``fold_case`` and ``keep_blanks`` as for canonical_dictionary.
 
     Null stays null; an empty text, or one of unseen characters only, becomes
     empty.  All other columns are kept; ``out`` replaces a column of that name.
     """
-    forms = canonical_dictionary(df, column, fold_case).select(F.col("text").alias("__text"), F.col("canonical").alias("__form"))
+    forms = canonical_dictionary(df, column, fold_case, keep_blanks).select(F.col("text").alias("__text"), F.col("canonical").alias("__form"))
     joined = df.drop(out) if out != column else df
     joined = joined.join(forms, joined[column] == forms["__text"], "left")
     return joined.withColumn(out, F.col("__form")).drop("__text", "__form")

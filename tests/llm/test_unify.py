@@ -62,3 +62,15 @@ def test_tables_come_from_rules():
     assert "²" not in rows and "가" not in rows
     assert len(unify.LOOK_ALIKES) < 200
 
+
+
+def test_case_stays_where_it_is_not_folded(spark):
+    got = forms(spark, ["привет", "η", "5μm", "сосо", "Ｆｕll", "ﬁx"], fold_case=False)
+    assert got == {"привет": "пpивeт", "η": "η", "5μm": "5μm", "сосо": "coco", "Ｆｕll": "Full", "ﬁx": "fix"}
+
+
+def test_blanks_stay_as_one_space(spark):
+    same = ["a b", " a  b ", "a\u00a0b", "a\u3000\u200b\tb", "\u2003а\r\nb\u2028", "a\u200b b"]
+    assert set(forms(spark, same, fold_case=False, keep_blanks=True).values()) == {"a b"}
+    assert forms(spark, ["ab", "é  è", " ", "", "\u00a0"], fold_case=False, keep_blanks=True) == {"ab": "ab", "é  è": "é è", " ": "", "": "", "\u00a0": ""}
+    assert set(forms(spark, same).values()) == {"AB"}
