@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import re
@@ -12,7 +13,7 @@ from functools import reduce
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casebook.sources.headers import HISTORY, header_map, normal
@@ -28,18 +29,21 @@ class UnsupportedFile(ValueError):
 def read_sheet(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]] = HISTORY) -> DataFrame:
     """All columns as texts, null as empty; rows without any text are left out.
 
-    ``path`` is a file or a pattern; a workbook's rows also have file_name and
-    row_no.  A workbook is read by one task each, so that many are read at once.
+    ``path`` is a file or a pattern, and each file's columns go by its own
+    header: those of several files that hold the same field, or have the same
+    header, are one.  Rows also have file_name and row_no, the header's being 1.
+    A file is read by one task, and many are read at once.  Files without a
+    header have no rows; if none has one, that is an error.
     """
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+        raw = _read_csv(spark, path, aliases)
     elif kind in ("xlsx", "xlsm"):
         raw = _read_workbooks(spark, path, aliases)
     else:
         raise UnsupportedFile(f"{path}: not .csv, .xlsx or .xlsm")
-    filled = raw.select(*(F.coalesce(raw[f"`{c}`"].cast("string"), F.lit("")).alias(c) for c in raw.columns))
-    data = [c for c in filled.columns if c not in ("file_name", "row_no")]
+    data = [c for c in raw.columns if c not in ("file_name", "row_no")]
+    filled = raw.select("file_name", "row_no", *(F.coalesce(raw[f"`{c}`"].cast("string"), F.lit("")).alias(c) for c in data))
     return filled.where(reduce(lambda a, b: a | b, (F.col(f"`{c}`") != "" for c in data))) if data else filled
 
 
@@ -57,6 +61,50 @@ def _keys(header: list[str], aliases: dict[str, tuple[str, ...]]) -> dict[int, t
     return out
 
 
+def _first_record(text: str) -> list[str]:
+    return next(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")), [])
+
+
+def _read_csv(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    def header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers = [_first_record(content.decode("utf-8", "replace")) for content in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.list_(pa.string()))], ["path", "header"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(header, "path string, header array<string>")
+    # one row a different header, in the order of the files
+    kinds = files.where(F.size("header") > 0).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.col("paths")[0]).collect()
+    if not kinds:
+        raise FileNotFoundError(f"{path}: no header")
+    names = _common_names([k["header"] for k in kinds], aliases)
+    parts = []
+    for kind in kinds:
+        keys = _keys(kind["header"], aliases)
+        places = [f"c{i}" for i in range(len(kind["header"]))]
+        rows = spark.read.schema(", ".join(f"{c} string" for c in places)).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(kind["paths"])
+        rows = rows.withColumn("file_name", F.input_file_name()).withColumn("__order", F.monotonically_increasing_id())
+        row_no = F.row_number().over(Window.partitionBy("file_name").orderBy("__order")) + 1
+        parts.append(rows.select("file_name", row_no.cast("bigint").alias("row_no"), *(F.col(f"c{i}").alias(names[key]) for i, (key, _) in keys.items())))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.select("file_name", "row_no", *(f"`{name}`" for name in names.values()))
+
+
+def _common_names(headers: list[list[str]], aliases: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    """key -> the column's name: that of the first header with it, told apart from names that are taken."""
+    names: dict[str, str] = {}
+    taken = {"file_name", "row_no"}
+    for header in headers:
+        for key, name in _keys(header, aliases).values():
+            if key not in names:
+                n, free = 1, name
+                while free.casefold() in taken:
+                    n += 1
+                    free = f"{name} ({n})"
+                names[key] = free
+                taken.add(free.casefold())
+    return names
+
+
 def _read_workbooks(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,17 +121,7 @@ def _read_workbooks(spark: SparkSession, path: str, aliases: dict[str, tuple[str
     cells = files.mapInArrow(rows, "file_name string, row_no bigint, header array<string>, cells map<string,string>")
     # one row a different header, in the order of the files
     headers = cells.where("row_no = 1").groupBy("header").agg(F.min("file_name").alias("first")).orderBy("first").collect()
-    names: dict[str, str] = {}
-    taken = {"file_name", "row_no"}
-    for row in headers:
-        for key, name in _keys(row["header"], aliases).values():
-            if key not in names:
-                n, free = 1, name
-                while free.casefold() in taken:
-                    n += 1
-                    free = f"{name} ({n})"
-                names[key] = free
-                taken.add(free.casefold())
+    names = _common_names([row["header"] for row in headers], aliases)
     data = cells.where("row_no > 1")
     return data.select("file_name", "row_no", *(F.col("cells").getItem(key).alias(name) for key, name in names.items()))
 

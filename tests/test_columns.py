@@ -51,3 +51,5 @@ def test_actions_and_warning(spark):
     assert kinds(spark, ["1. Issue an ESW.", "the ESW is approved", "1. Waive the requirement", "we will waive it", "request a waiver"], gates.actions) == [
         [("instruction to perform an internal action", "Issue an ESW")], [], [("instruction to perform an internal action", "1. Waive")], [], []]
     assert each(spark, ["clean", None, "see above"], gates.warning) == ["", "", "Contains: reference to something not included: 'see above'"]
+    orders = ["We approve the waiver, then grant a deviation.", "They will waive\nMRB. Issue. Waiver", "please waive", "3) Please  waive, now\nwaived", "reissue a waiver; issued the waiver", None, ""]
+    assert [[f for _, f in x] for x in kinds(spark, orders, gates.actions)] == [["approve the waiver", "grant a deviation"], ["waive MRB"], ["please waive"], ["3) Please waive"], [], [], []]

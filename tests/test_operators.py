@@ -65,12 +65,9 @@ def test_counters_with_nulls(spark):
 
 
 def test_packing():
-    words = lambda n, w="w": [w] * n
-    sizes = lambda parts: [len(p.split()) for p in chunks.packed(parts, 300, 350, 12)]
-    assert sizes([words(100), words(150), words(60), words(40)]) == [310, 40]
-    assert sizes([words(200), words(200)]) == [200, 200]
-    assert sizes([words(800)]) == [350, 350, 100]
-    assert sizes([words(5)]) == [] and sizes([]) == []
+    sizes = lambda counts: [len(p.split()) for _, p in chunks.packed_parts([(0, "w " * n, None) for n in counts], 300, 350, 12)]
+    assert sizes([100, 150, 60, 40]) == [310, 40] and sizes([200, 200]) == [200, 200]
+    assert sizes([200, 140, 5]) == [345] and sizes([5]) == [] and sizes([]) == []
 
 
 def test_passages_stay_within_sections(spark):

@@ -80,3 +80,35 @@ def test_workbooks_keep_their_own_headers(spark, tmp_path):
     assert got == [("RX-1", "A-1", "lid", "swap"), ("RX-2", "B-2", "nut", "turn"), ("RX-3", "B-3", "pin", "press"), ("RX-4", "C-4", "cap", "file")]
     notes = {r["SPS ID"]: (r["note"], r["note (2)"], r["id"], r["partno"], r["file_name (2)"]) for r in read.collect()}
     assert notes == {"RX-1": ("",) * 5, "RX-2": ("n1", "n2", "", "", ""), "RX-3": ("",) * 5, "RX-4": ("", "", "7", "old", "x")}
+
+
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n,\n3,4\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffy,x,\"more, of it\"\n2,1,z\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    read = read_sheet(spark, str(tmp_path / "*.csv"))
+    rows = sorted((r["file_name"][-5:], r["row_no"], r["x"], r["y"], r["more, of it"]) for r in read.collect())
+    assert rows == [("a.csv", 2, "1", "2", ""), ("a.csv", 4, "3", "4", ""), ("b.csv", 2, "1", "2", "z")]
+    with pytest.raises(FileNotFoundError):
+        read_sheet(spark, str(tmp_path / "c.csv"))
+
+
+def test_documents_of_one_name_stay_apart(spark, tmp_path):
+    p = lambda t, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>" if style else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
+    for folder, title in (("one", "Alpha"), ("two", "Beta")):
+        (tmp_path / folder).mkdir()
+        document(tmp_path / folder / "s.docx", p(title, "H1") + p(f"text below {title} " * 5))
+    read = read_docx(spark, f"{tmp_path}/*")
+    assert sorted((r["document"], r["heading"], r["passage"]) for r in docx_passages(read).collect()) == [("s.docx", t, (f"text below {t} " * 5).strip()) for t in ("Alpha", "Beta")]
+    assert {r["level"] for r in read.where("kind = 'heading'").collect()} == {1}
+
+
+def test_package_names_its_parts(spark, tmp_path):
+    relations = lambda *r: '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{k}" Target="{t}"/>' for i, (k, t) in enumerate(r)) + "</Relationships>"
+    p = lambda t, style: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("_rels/.rels", relations(("officeDocument", "/main/text.xml")))
+        z.writestr("main/_rels/text.xml.rels", relations(("styles", "looks.xml")))
+        z.writestr("main/text.xml", f"<w:document {WORD}><w:body>{p('Its title', 'T')}{p('Part', 'berschrift2')}<w:p><w:r><w:t>plain</w:t></w:r></w:p></w:body></w:document>")
+        z.writestr("main/looks.xml", f'<w:styles {WORD}><w:style w:type="paragraph" w:styleId="T"><w:name w:val="Title"/></w:style><w:style w:type="paragraph" w:styleId="berschrift2"><w:name w:val="heading 2"/></w:style><w:style w:type="paragraph" w:default="1" w:styleId="S"><w:name w:val="Normal"/></w:style></w:styles>')
+    assert [(r["kind"], r["level"], r["text"]) for r in read_docx(spark, str(tmp_path)).orderBy("place").collect()] == [("heading", 0, "Its title"), ("heading", 2, "Part"), ("paragraph", None, "plain")]
