@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -52,3 +52,25 @@ def accepted(df: DataFrame, least: float, score: str = "intent") -> DataFrame:
     """The rows that were answered and whose score, limited to 0..100, is ``least`` or more; an outage is never an acceptance."""
     limited = F.least(F.greatest(F.col(score), F.lit(0)), F.lit(100))
     return df.where(F.col("error").isNull() & F.col(score).isNotNull()).withColumn(score, limited).where(F.col(score) >= least)
+
+
+#: What a failure names that comes from what the model can't do, not from an outage.
+CAPABILITY = ("json_schema", "response_format", "structured output")
+
+
+def failure_kind(error: Column) -> Column:
+    """``capability`` if the model can't do what was asked of it, so that asking again is of no use, else ``outage``; null without an error."""
+    can_not = F.lower(error).rlike("|".join(CAPABILITY)) | error.rlike("^(TypeError|NotImplementedError)\\b")
+    return F.when(error.isNotNull(), F.when(can_not, "capability").otherwise("outage"))
+
+
+def joined_scores(answers: DataFrame, candidates: DataFrame, query: str, item: str, scores: str = "scores", score: str = "intent") -> DataFrame:
+    """``candidates`` with the score that an answer gives to each, limited to 0..100.
+
+    ``answers`` (query, scores array<struct<item, score>>).  Scores of items
+    that were never candidates are dropped, and so are candidates without a
+    score; of several scores of an item the largest counts.
+    """
+    given = answers.select(query, F.explode(scores).alias("s")).select(query, F.col(f"s.{item}").alias(item), F.col(f"s.{score}").alias(score))
+    given = given.where(F.col(item).isNotNull() & F.col(score).isNotNull()).groupBy(query, item).agg(F.max(F.least(F.greatest(score, F.lit(0)), F.lit(100))).alias(score))
+    return candidates.join(given, [query, item])

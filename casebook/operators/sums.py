@@ -24,13 +24,16 @@ def floor_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
 
     Null and NaN values and null groups are left out.  Values are counted
     first, so that a group enters with its different values only; those are
-    cut by size into ``slices`` of about equal width for the running sum.
+    cut for the running sum at approximate quantiles, of which there are
+    ``slices`` or one for 100,000 different values if that is more, so that
+    values close together don't end up in one task.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)).select(group, F.col(value).cast("double").alias("v"))
     counts = rows.groupBy(group, "v").agg(F.count("*").alias("c"))
-    span = rows.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    cut = counts.join(span, group).withColumn("slice", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices), F.lit(slices - 1))).otherwise(F.lit(0)))
-    placed = running_sum(cut, [group], "slice", ["v"], "c", "through")
+    cuts = max(slices, counts.count() // 100_000)
+    span = counts.groupBy(group).agg(F.sum("c").alias("n"), F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 20 * cuts).alias("cuts"))
+    cut = counts.join(span, group).withColumn("slice", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
+    placed = running_sum(cut.drop("cuts"), [group], "slice", ["v"], "c", "through")
     at = lambda f: F.floor(F.lit(float(f)) * (F.col("n") - 1))
     hit = lambda f: (F.col("through") > at(f)) & (F.col("through") - F.col("c") <= at(f))
     return placed.groupBy(group).agg(F.max("n").alias("n"), *(F.max(F.when(hit(f), F.col("v"))).alias(name) for name, f in shares.items()))

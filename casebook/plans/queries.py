@@ -7,10 +7,11 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from casebook.functions import gates
 from casebook.functions import text as T
-from casebook.operators import chunks, families, ranking, records, sums, textvectors
+from casebook.operators import chunks, families, models, ranking, records, sums, textvectors
 from casebook.operators.search import hashed_counts, nearest_in_scope
 from casebook.plans import resolve
 from casebook.storage import table
@@ -295,6 +296,21 @@ def resolve_tickets(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolved(tickets, table(spark, d, "boilerplate_history"), table(spark, d, "commodity_groups"))
 
 
+@_query(f"""WITH {_search}, top AS (SELECT best.*, problem AS asked FROM best JOIN asked USING (ticket_id) WHERE place <= 5 AND score >= 0.3),
+    scored AS (SELECT top.*, CAST(floor(100 * {_jaccard.format(a=_tok('asked'), b=_tok('usable.problem'))} + 0.5) AS INT) AS intent FROM top JOIN usable USING (row_id)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY intent DESC, exact DESC, score DESC, sps_id DESC) AS solution_rank FROM scored WHERE intent >= {resolve.INTENT}),
+    answers AS (SELECT * FROM placed WHERE solution_rank <= {resolve.ANSWERS})
+    SELECT t.ticket_id, t.sps_id, t.part_number, t.issue_type, solution_rank, answers.sps_id AS found_sps_id, intent, answers.ticket_id IS NOT NULL AS answered
+    FROM incoming_tickets t LEFT JOIN answers ON t.ticket_id = answers.ticket_id WHERE t.ticket_id % 20 = 0""")
+def answered_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Every ticket whose id is divisible by 20, as it came in, with each of its answers, or once without any."""
+    tickets = table(spark, d, "incoming_tickets").where(F.col("ticket_id") % 20 == 0)
+    found = resolve.resolved(tickets, table(spark, d, "boilerplate_history"), table(spark, d, "commodity_groups"))
+    answers = found.select("ticket_id", "solution_rank", F.col("sps_id").alias("found_sps_id"), "intent", F.lit(True).alias("answered"))
+    both = tickets.select("ticket_id", "sps_id", "part_number", "issue_type").join(answers, "ticket_id", "left")
+    return both.withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
 @_query()
 def ticket_passages(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar passages, among those of all documents, of each ticket whose id is divisible by 20."""
@@ -335,6 +351,50 @@ def near_misses(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best_items(_candidates(spark, d), "ticket_id", "sps_id", _order()).where("place <= 3").select("ticket_id", "cand_id", T.percent(F.col("score")).alias("percent"), "place")
 
 
+_shortlist = _placed.format(w="WHERE score >= 0.3") + ", short AS (SELECT * FROM best WHERE place <= 5)"
+
+
+def _stand_in():
+    """A client that scores a shortlist as a model might: out of range, for an id nobody gave it, and not at all."""
+
+    def score(rows: list[dict]) -> list[dict]:
+        scored = [[{"sps_id": x["sps_id"], "intent": int(x["percent"]) * 2 - 60} for x in r["asked"] if x["percent"] % 7] for r in rows]
+        return [{"scores": [*s, {"sps_id": "nobody's", "intent": 99}]} for s in scored]
+
+    return score
+
+
+@_query(_shortlist + """, scored AS (SELECT *, CAST(trunc((score + 1e-6) * 100) AS INT) AS percent FROM short)
+    SELECT ticket_id, sps_id, CAST(least(greatest(percent * 2 - 60, 0), 100) AS INT) AS intent, row_number() OVER (PARTITION BY ticket_id ORDER BY least(greatest(percent * 2 - 60, 0), 100) DESC, exact DESC, score DESC, sps_id DESC) AS place
+    FROM scored WHERE percent % 7 <> 0""")
+def intent_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each ticket's shortlist as a model scores it, one call a ticket: ids that weren't asked about are dropped, scores limited, candidates ranked anew."""
+    short = ranking.shortlist(_candidates(spark, d), "ticket_id", "sps_id", "score", _order(), 5, 0.3).withColumn("percent", T.percent(F.col("score")))
+    asked = short.groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("place", "sps_id", "percent"))).alias("asked"))
+    answers = models.called(asked, _stand_in, StructType.fromDDL("scores array<struct<sps_id: string, intent: int>>"))
+    joined = models.joined_scores(answers.where("error IS NULL"), short.drop("place"), "ticket_id", "sps_id")
+    order = Window.partitionBy("ticket_id").orderBy(F.desc("intent"), F.desc("exact"), F.desc("score"), F.desc("sps_id"))
+    return joined.select("ticket_id", "sps_id", "intent", F.row_number().over(order).alias("place"))
+
+
+@_query(_placed.format(w="") + f""", h AS (SELECT upper({_trim('sps_id')}) AS sps_id, arg_max({_trim('problem_description')}, row_id) AS text_b FROM boilerplate_history WHERE {_trim('problem_description')} <> '' GROUP BY 1),
+    pairs AS (SELECT ticket_id, best.sps_id, exact, {_trim('problem_description')} AS text_a, text_b FROM best JOIN incoming_tickets USING (ticket_id) JOIN h ON best.sps_id = h.sps_id WHERE place = 1 AND {_trim('problem_description')} <> ''),
+    texts AS (SELECT text_a AS t FROM pairs UNION SELECT text_b FROM pairs),
+    v AS (SELECT t, substr(md5(x), 1, 2) AS b, count(*) AS n FROM (SELECT t, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS x FROM texts) GROUP BY 1, 2), norms AS (SELECT t, sum(n * n)::DOUBLE AS nn FROM v GROUP BY 1),
+    dots AS (SELECT ticket_id, sum(x.n * y.n)::DOUBLE AS dot FROM pairs JOIN v x ON text_a = x.t JOIN v y ON text_b = y.t AND x.b = y.b GROUP BY 1)
+    SELECT ticket_id, pairs.sps_id, CASE WHEN exact THEN 'match' ELSE 'no-match' END AS expect, round(coalesce(dot / sqrt(p.nn * q.nn), 0), 6) AS cosine
+    FROM pairs LEFT JOIN dots USING (ticket_id) LEFT JOIN norms p ON text_a = p.t LEFT JOIN norms q ON text_b = q.t""")
+def pair_probe(spark: SparkSession, d: str) -> DataFrame:
+    """How similar each ticket's problem is to its best candidate's latest one; own-part pairs are expected to match.  The most similar first."""
+    problem = T.trimmed(F.col("problem_description"))
+    best = ranking.best_items(_candidates(spark, d), "ticket_id", "sps_id", _order()).where("place = 1").select("ticket_id", "sps_id", F.when(F.col("exact"), "match").otherwise("no-match").alias("expect"))
+    asked = table(spark, d, "incoming_tickets").select("ticket_id", problem.alias("text_a")).where("text_a <> ''")
+    known = table(spark, d, "boilerplate_history").select(F.upper(T.trimmed(F.col("sps_id"))).alias("sps_id"), "row_id", problem.alias("text_b")).where("text_b <> ''")
+    known = known.groupBy("sps_id").agg(F.max_by("text_b", "row_id").alias("text_b"))
+    scored = textvectors.pair_cosines(best.join(asked, "ticket_id").join(known, "sps_id"), "text_a", "text_b", hashed_counts)
+    return scored.select("ticket_id", "sps_id", "expect", F.round("cosine", 6).alias("cosine")).orderBy(F.desc("cosine"), "ticket_id")
+
+
 @_query("""SELECT ticket_id, count(*) AS matched, count(s) AS considered, count(DISTINCT CASE WHEN s >= 0.3 THEN sps_id END) AS qualified, max(s) AS top_score
     FROM (SELECT *, CASE WHEN NOT isnan(composite_score) THEN least(greatest(composite_score, 0.0), 1.0) END AS s FROM candidates) GROUP BY 1""")
 def ticket_counters(spark: SparkSession, d: str) -> DataFrame:

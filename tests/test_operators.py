@@ -141,3 +141,37 @@ def test_cells_and_lists(spark):
     cells = [r[0] for r in df.select(T.cell(F.col("t"))).collect()]
     assert cells[:2] == ["a\nbc\td", ""] and len(cells[2]) == T.CELL and cells[2].endswith(T.CUT)
     assert df.limit(1).select(T.numbered(F.array(F.lit("a"), F.lit("b")))).first()[0] == "[1] a\n[2] b"
+
+
+def test_scores_join_their_candidates(spark):
+    from casebook.operators.models import failure_kind, joined_scores
+
+    answers = spark.createDataFrame([(1, [("a", 150), ("b", -5), ("x", 90), ("a", 20), (None, 3), ("c", None)]), (2, [("a", 40)]), (3, None)], "q int, scores array<struct<item: string, intent: int>>")
+    candidates = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (3, "a"), (4, "a")], "q int, item string")
+    assert sorted(tuple(r) for r in joined_scores(answers, candidates, "q", "item").collect()) == [(1, "a", 100), (1, "b", 0)]
+    errors = spark.createDataFrame([("TypeError: no such parameter",), ("ValueError: Response_Format is not known",), ("TimeoutError: read",), (None,), ("ValueError: 503 TypeError",)], "e string")
+    assert [r[0] for r in errors.select(failure_kind(F.col("e"))).collect()] == ["capability", "capability", "outage", None, "outage"]
+
+
+def test_pair_cosines(spark):
+    rows = [(1, "red lid", "red lid"), (2, "red lid", "blue box"), (3, "...", "red lid"), (4, "red lid", "lid red lid")]
+    got = {r["i"]: r["cosine"] for r in textvectors.pair_cosines(spark.createDataFrame(rows, "i int, a string, b string"), "a", "b", search.hashed_counts).collect()}
+    assert got[1] == pytest.approx(1) and got[3] == 0 and got[4] == pytest.approx(3 / 10**0.5)
+
+
+def test_percentiles_of_values_close_together(spark):
+    values = [1e9, *(i / 1e6 for i in range(5000))]
+    row = sums.floor_percentiles(spark.createDataFrame([("g", v) for v in values], "g string, v double"), "g", "v", {"mid": 0.5, "hi": 1.0}, slices=50).first()
+    assert (row["n"], row["mid"], row["hi"]) == (5001, sorted(values)[2500], 1e9)
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from casebook import storage
+
+    storage.remove_intermediate(spark)
+    kept = storage.materialise(spark.range(3).toDF("x"), "some")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    import os
+
+    assert kept.count() == 3 and os.path.isdir(path)
+    assert storage.remove_intermediate(spark) == 1 and not os.path.isdir(path) and storage.remove_intermediate(spark) == 0
