@@ -156,7 +156,19 @@ def transferability_findings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", "place", "f.kind", "f.fragment")
 
 
-@_query()
+_in = lambda words: "(" + ", ".join(f"'{w.lower()}'" for w in words) + ")"
+_word = lambda i: f"lower(regexp_extract(coalesce(p[{i}], ''), '^\\w+'))"
+_apart = lambda i: f"regexp_full_match(coalesce(p[{i}], ''), '\\w+\\s+')"
+_orders = f"""list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN {_word('i')} IN {_in(gates.CUSTOMER_VERBS)} AND {_apart('i')} THEN
+    CASE WHEN {_word('i + 1')} IN {_in(gates.INSTRUMENTS)} THEN p[i] || p[i + 1] WHEN {_word('i + 1')} IN {_in(gates.ARTICLES)} AND {_apart('i + 1')} AND {_word('i + 2')} IN {_in(gates.INSTRUMENTS)} THEN p[i] || p[i + 1] || p[i + 2] END END), lambda x: x IS NOT NULL)"""
+_first_of = lambda l: f"list_filter({l}, lambda x, i: list_position(list_transform({l}, lambda y: lower(y.fragment)), lower(x.fragment)) = i)"
+
+
+@_query(f"""WITH s AS (SELECT coalesce(solution_text, '') AS solution_text, regexp_extract_all(coalesce(solution_text, ''), '\\w+\\W*') AS p FROM boilerplate_history),
+    found AS (SELECT {_scan_sql(gates.REFERENCES, 'solution_text')} AS r, list_transform({_orders}, lambda x: {{'kind': '{gates.ACTION}', 'fragment': {_flat("regexp_replace(x, '[^0-9A-Za-z_]+$', '')")}}}) ||
+      list_transform(list_filter(list_transform(string_split(solution_text, chr(10)), lambda x: {_flat('x')}), lambda x: regexp_matches(x, '(?i)^([0-9]+[.)] ?)?(please )?waive([^0-9a-z_]|$)')), lambda x: {{'kind': '{gates.ACTION}', 'fragment': regexp_extract(x, '(?i)^.*?waive')}}) AS a FROM s),
+    once AS (SELECT {_first_of('r')} || {_first_of('a')} AS f FROM found)
+    SELECT CASE WHEN len(f) = 0 THEN '' ELSE 'Contains: ' || array_to_string(list_transform(f, lambda x: x.kind || ': ' || chr(39) || x.fragment || chr(39)), '; ') END AS warning, count(*) AS n_rows FROM once GROUP BY 1""")
 def solution_warnings(spark: SparkSession, d: str) -> DataFrame:
     """How often which warning would stand beside a solution."""
     return table(spark, d, "boilerplate_history").groupBy(gates.warning(F.col("solution_text")).alias("warning")).agg(F.count("*").alias("n_rows"))
@@ -219,13 +231,19 @@ def missing_ticket_texts(spark: SparkSession, d: str) -> DataFrame:
     return textvectors.missing_texts(textvectors.distinct_texts(table(spark, d, "incoming_tickets"), "problem_description"), known).select("text_key", "n_rows")
 
 
-@_query()
+_vectors = f"""WITH texts AS (SELECT DISTINCT {_trim('problem_description')} AS t FROM boilerplate_history WHERE {_trim('problem_description')} <> ''),
+    v AS (SELECT t, substr(md5(x), 1, 2) AS b, count(*) AS n FROM (SELECT t, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS x FROM texts) GROUP BY 1, 2),
+    m AS (SELECT t, map(list(b), list(n)) AS m, sqrt(sum(n * n)::DOUBLE) AS length FROM v GROUP BY 1)
+    SELECT 'hashed-256' AS model, substr(sha256(t), 1, 32) AS text_key, list_transform(range(256), lambda i: coalesce(m[lower(lpad(to_hex(i), 2, '0'))]::DOUBLE / length, 0)::FLOAT) AS vec FROM texts LEFT JOIN m USING (t)"""
+
+
+@_query(_vectors)
 def problem_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The vectors of the history's different problems."""
     return textvectors.encoded(textvectors.distinct_texts(table(spark, d, "boilerplate_history"), "problem_description"), hashed_counts, "hashed-256")
 
 
-@_query()
+@_query(_vectors)
 def streamed_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The same, kept up to date by a stream of history files."""
     return ingest(spark, f"{d}/boilerplate_history.parquet", "problem_description").select("model", "text_key", "vec")
@@ -519,6 +537,17 @@ def corpus_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.lower(F.trim(T.text(F.col("source")))).alias("source")).agg(F.count("*").alias("n_docs"), F.sum(one).alias("digest"))
 
 
+_part_of = lambda k: f"CAST(sum(('0x' || substr(md5(doc_id || ':' || coalesce(text, '')), {8 * k + 1}, 8))::BIGINT) AS BIGINT) AS digest_{k}"
+
+
+@_query(f"SELECT lower(trim(coalesce(source, ''))) AS source, count(*) AS n_docs, {', '.join(map(_part_of, range(4)))} FROM documents GROUP BY 1")
+def whole_corpus_digests(spark: SparkSession, d: str) -> DataFrame:
+    """As corpus_digests, from all 128 bits of each document's digest."""
+    one = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), T.text(F.col("text"))))
+    parts = [F.sum(F.conv(F.substring(one, 8 * k + 1, 8), 16, 10).cast("bigint")).alias(f"digest_{k}") for k in range(4)]
+    return table(spark, d, "documents").groupBy(F.lower(F.trim(T.text(F.col("source")))).alias("source")).agg(F.count("*").alias("n_docs"), *parts)
+
+
 @_query(f"""SELECT ticket_id, first_ticket FROM (SELECT ticket_id, min(ticket_id) OVER (PARTITION BY s, p, t) AS first_ticket FROM (
     SELECT ticket_id, upper({_trim('sps_id')}) AS s, {_part('part_number')} AS p, {_flat('problem_description')} AS t FROM incoming_tickets)) WHERE ticket_id <> first_ticket""")
 def repeated_tickets(spark: SparkSession, d: str) -> DataFrame:
