@@ -427,6 +427,14 @@ def issue_tally(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("issue_type").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row")).orderBy(F.desc("n"), "first_row")
 
 
+@_query("""SELECT lower(trim(coalesce(issue_type, ''))) AS issue_type, count(*) AS n, count(*) FILTER (WHERE problem_reason_code IS NULL OR trim(problem_reason_code) = '') AS n_without_reason,
+    count(*) FILTER (WHERE regexp_matches(problem_reason_code, '^RC-[1-3][0-9]*$')) AS n_of_first_kinds FROM incoming_tickets GROUP BY 1""")
+def reason_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Tickets by issue type, and how many of them have no reason code or one that begins with 1 to 3."""
+    rows = table(spark, d, "incoming_tickets").select(F.lower(F.trim(T.text(F.col("issue_type")))).alias("issue_type"), F.col("problem_reason_code").alias("reason"))
+    return rows.groupBy("issue_type").agg(F.count("*").alias("n"), F.count_if(F.trim(T.text(F.col("reason"))) == "").alias("n_without_reason"), F.count_if(F.col("reason").rlike("^RC-[1-3][0-9]*$")).alias("n_of_first_kinds"))
+
+
 _pick = lambda f: f"l[1 + CAST(trunc({f}::DOUBLE * (n - 1)) AS INT)]"
 
 
