@@ -25,12 +25,12 @@ def floor_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
     Null and NaN values and null groups are left out.  Values are counted
     first, so that a group enters with its different values only; those are
     cut for the running sum at approximate quantiles, of which there are
-    ``slices`` or one for 100,000 different values if that is more, so that
-    values close together don't end up in one task.
+    ``slices`` or as many as the session has shuffle partitions if those are
+    more, so that values close together don't end up in one task.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)).select(group, F.col(value).cast("double").alias("v"))
     counts = rows.groupBy(group, "v").agg(F.count("*").alias("c"))
-    cuts = max(slices, counts.count() // 100_000)
+    cuts = max(slices, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     span = counts.groupBy(group).agg(F.sum("c").alias("n"), F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 20 * cuts).alias("cuts"))
     cut = counts.join(span, group).withColumn("slice", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
     placed = running_sum(cut.drop("cuts"), [group], "slice", ["v"], "c", "through")
