@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from casebook.functions import gates
 from casebook.functions import text as T
-from casebook.operators import chunks, families, models, ranking, records, sums, textvectors
+from casebook.operators import families, models, ranking, records, sums, textvectors
 from casebook.operators.search import hashed_counts, nearest_in_scope
 from casebook.plans import resolve
 from casebook.storage import table
@@ -329,11 +329,58 @@ def answered_tickets(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
-@_query()
+# Cutting one document after another: sections between blank lines; those of more than 350 words into sentences, and these into runs of 350, packed again; all packed to passages.
+_n_words = lambda c: f"len(string_split({c}, ' '))"
+_passages = f"""sections AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS section, unnest(s) AS s FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n'), lambda x: {_flat('x')} <> '') AS s FROM documents)),
+    section_words AS (SELECT doc_id, section, s, string_split({_flat('s')}, ' ') AS w FROM sections),
+    cut_sentences AS (SELECT doc_id, section, generate_subscripts(l, 1) AS i, string_split({_flat('unnest(l)')}, ' ') AS w FROM (
+      SELECT doc_id, section, string_split(regexp_replace({_trim('s')}, '([.!?]){_WS}', '\\1' || chr(1), 'g'), chr(1)) AS l FROM section_words WHERE len(w) > 350)),
+    runs AS (SELECT doc_id, section, i, unnest(range(0, len(w), 350)) AS lo, w FROM cut_sentences),
+    refilled AS (SELECT doc_id, section, list_reduce(list({{'done': []::VARCHAR[], 'cur': array_to_string(w[lo + 1 : lo + 350], ' '), 'n': least(350, len(w) - lo)}} ORDER BY i, lo), lambda a, x: CASE WHEN a.n + x.n > 350
+      THEN {{'done': list_append(a.done, a.cur), 'cur': x.cur, 'n': x.n}} ELSE {{'done': a.done, 'cur': a.cur || ' ' || x.cur, 'n': a.n + x.n}} END) AS g FROM runs GROUP BY 1, 2),
+    parts AS (SELECT doc_id, section, 1 AS i, array_to_string(w, ' ') AS t FROM section_words WHERE len(w) <= 350
+      UNION ALL SELECT doc_id, section, generate_subscripts(l, 1), unnest(l) FROM (SELECT doc_id, section, list_append(g.done, g.cur) AS l FROM refilled)),
+    packed AS (SELECT doc_id, list_reduce(list({{'done': []::STRUCT(mark BIGINT, t VARCHAR)[], 'mark': section, 'cur': t, 'n': {_n_words('t')}}} ORDER BY section, i), lambda a, x: CASE WHEN a.n >= 12 AND (a.n >= 300 OR a.n + x.n > 350)
+      THEN {{'done': list_append(a.done, {{'mark': a.mark, 't': a.cur}}), 'mark': x.mark, 'cur': x.cur, 'n': x.n}} ELSE {{'done': a.done, 'mark': a.mark, 'cur': a.cur || chr(10) || x.cur, 'n': a.n + x.n}} END) AS g FROM parts GROUP BY 1),
+    closed AS (SELECT doc_id, CASE WHEN g.n >= 12 THEN list_append(g.done, {{'mark': g.mark, 't': g.cur}})
+      WHEN len(g.done) > 0 THEN list_append(g.done[:-2], {{'mark': g.done[-1].mark, 't': g.done[-1].t || chr(10) || g.cur}}) END AS l FROM packed),
+    passages AS (SELECT doc_id, CAST(p.mark AS INT) AS section, CAST(chunk AS INT) AS chunk, p.t AS passage, CAST(len(regexp_split_to_array(p.t, '[ \\n]')) AS INT) AS n_words
+      FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk, unnest(l) AS p FROM closed))"""
+_near = lambda which: f"""{_passages}, seeking AS (SELECT ticket_id, CASE WHEN issue <> '' THEN 'Issue Type: ' || issue || ' | ' ELSE '' END || 'Defect: ' || problem AS content FROM (
+      SELECT ticket_id, {_trim('issue_type')} AS issue, {_flat("regexp_replace(coalesce(problem_description, ''), '\\p{Cf}', '', 'g')")} AS problem FROM incoming_tickets WHERE ticket_id % 20 = 0) WHERE length(problem) >= 10 AND {which}),
+    sv AS (SELECT ticket_id, substr(md5(t), 1, 2) AS b, count(*) AS n FROM (SELECT ticket_id, unnest({_tok('content')}) AS t FROM seeking) GROUP BY 1, 2),
+    pv AS (SELECT doc_id, chunk, substr(md5(t), 1, 2) AS b, count(*) AS n FROM (SELECT doc_id, chunk, unnest({_tok("'[' || doc_id || '] ' || passage")}) AS t FROM passages) GROUP BY 1, 2, 3),
+    sn AS (SELECT ticket_id, sum(n * n)::DOUBLE AS nn FROM sv GROUP BY 1), pn AS (SELECT doc_id, chunk, sum(n * n)::DOUBLE AS nn FROM pv GROUP BY 1, 2),
+    passage_dots AS (SELECT ticket_id, doc_id, chunk, sum(sv.n * pv.n)::DOUBLE AS dot FROM sv JOIN pv USING (b) GROUP BY 1, 2, 3),
+    near AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, doc_id, chunk) AS place FROM (
+      SELECT ticket_id, doc_id, chunk, least(1.0, dot / sqrt(sn.nn * pn.nn)) AS score FROM passage_dots JOIN sn USING (ticket_id) JOIN pn USING (doc_id, chunk)))"""
+
+
+@_query(f"WITH {_passages} SELECT * FROM passages")
+def document_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The documents cut into passages: all their words, but for documents with fewer than 12."""
+    return resolve.document_passages(table(spark, d, "documents"))
+
+
+@_query(f"WITH {_near('true')} SELECT ticket_id, doc_id, chunk, round(score, 6) AS score, place FROM near WHERE place <= {resolve.PASSAGES} AND score >= {resolve.PASSAGE_GATE}")
 def ticket_passages(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar passages, among those of all documents, of each ticket whose id is divisible by 20."""
     tickets = table(spark, d, "incoming_tickets").where(F.col("ticket_id") % 20 == 0)
-    return resolve.nearest_passages(tickets, document_passages(spark, d))
+    return resolve.nearest_passages(tickets, document_passages(spark, d)).withColumn("score", F.round("score", 6))
+
+
+_cut = lambda c: f"CASE WHEN length({_flat(c)}) > 500 THEN substr({_flat(c)}, 1, 499) || '…' ELSE {_flat(c)} END"
+
+
+@_query(f"""WITH {_search}, top AS (SELECT best.*, usable.solution, {_jaccard.format(a=_tok('asked.problem'), b=_tok('usable.problem'))} AS alike FROM best JOIN asked USING (ticket_id) JOIN usable USING (row_id) WHERE place <= 5 AND score >= 0.3),
+    done AS (SELECT ticket_id FROM top WHERE floor(100 * alike + 0.5) >= {resolve.INTENT}), {_near('ticket_id NOT IN (SELECT ticket_id FROM done)')}
+    SELECT ticket_id, 1 AS tier, place, sps_id AS source, NULL AS chunk, round(score, 6) AS score, {_cut('solution')} AS evidence FROM top
+    UNION ALL SELECT ticket_id, 2, place, doc_id::VARCHAR, chunk, round(score, 6), {_cut('passage')} FROM near JOIN passages USING (doc_id, chunk) WHERE place <= {resolve.PASSAGES} AND score >= {resolve.PASSAGE_GATE}""")
+def ticket_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """All evidence of each ticket whose id is divisible by 20: its shortlist and, if that answers nothing, its passages."""
+    tickets = table(spark, d, "incoming_tickets").where(F.col("ticket_id") % 20 == 0)
+    found = resolve.evidence(tickets, *(table(spark, d, t) for t in ("boilerplate_history", "commodity_groups", "documents")))
+    return found.withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- ranking and tallies
@@ -471,12 +518,6 @@ def record_coverage(spark: SparkSession, d: str) -> DataFrame:
     return both.select("sps_id", F.coalesce("asked", F.lit(False)).alias("asked"), F.coalesce("recorded", F.lit(False)).alias("recorded"))
 
 
-@_query()
-def document_passages(spark: SparkSession, d: str) -> DataFrame:
-    """The documents cut into passages: all their words, but for documents with fewer than 12."""
-    return chunks.passages(table(spark, d, "documents"), "doc_id", "text", across=True)
-
-
 @_query(f"""SELECT part_number AS canonical_part, n_tickets, n_history FROM (SELECT {_part('part_number')} AS part_number, count(*) AS n_tickets FROM incoming_tickets GROUP BY 1)
     JOIN (SELECT {_part('part_number')} AS part_number, count(*) AS n_history FROM boilerplate_history GROUP BY 1) USING (part_number) WHERE part_number IN (SELECT part_number FROM part_catalog)""")
 def part_activity(spark: SparkSession, d: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.functions.text import canonical_part, collapsed, jaccard, percent, strip_invisible, tokens, trimmed
+from casebook.functions.text import canonical_part, collapsed, extract, jaccard, percent, strip_invisible, tokens, trimmed
+from casebook.operators import chunks
 from casebook.operators.families import grouped_codes, with_scope
 from casebook.operators.search import hashed_counts, nearest_in_scope
+from casebook.storage import materialise
 
 #: Production parameters: the least cosine, the shortlist, the least intent in percent, the answers a ticket gets.
 #: Intent is the Jaccard similarity of the tokens here, for which 30 is far; a model that scores intent itself wants 75.
@@ -64,12 +66,39 @@ def nearest_passages(tickets: DataFrame, passages: DataFrame, k: int = PASSAGES,
     return found.select(F.col("query_id").alias("ticket_id"), F.col("row_id").alias("doc_id"), chunk.alias("chunk"), "score", "place")
 
 
+def document_passages(documents: DataFrame) -> DataFrame:
+    """(doc_id, section, chunk, passage, n_words): the passages of documents (doc_id, text)."""
+    return chunks.passages(documents, "doc_id", "text", across=True)
+
+
 def resolved(tickets: DataFrame, history: DataFrame, groups: DataFrame) -> DataFrame:
-    """(ticket_id, solution_rank, sps_id, confidence, intent, exact_part, solution_text): up to three verbatim answers a ticket.
+    """(ticket_id, solution_rank, sps_id, confidence, intent, exact_part, solution_text): up to three verbatim answers a ticket."""
+    return answers(shortlisted(tickets, history, groups), tickets, history)
+
+
+def evidence(tickets: DataFrame, history: DataFrame, groups: DataFrame, documents: DataFrame) -> DataFrame:
+    """(ticket_id, tier, place, source, chunk, score, evidence): what both tiers hold on each ticket.
+
+    Tier 1 is the ticket's shortlist, tier 2 the passages nearest to it, which
+    only tickets without an answer are compared with.  Texts are fetched for the
+    rows found, and only the documents found are cut again.  Tickets without
+    evidence have no row.
+    """
+    found = materialise(shortlisted(tickets, history, groups), "shortlists")
+    unanswered = tickets.join(answers(found, tickets, history).select("ticket_id").distinct(), "ticket_id", "left_anti")
+    near = materialise(nearest_passages(unanswered, document_passages(documents)), "near")
+    texts = usable_history(history).select("row_id", "solution")
+    first = found.join(texts, "row_id").select(F.col("query_id").alias("ticket_id"), F.lit(1).alias("tier"), "place", F.col("item").alias("source"), F.lit(None).cast("int").alias("chunk"), "score", extract(F.col("solution")).alias("evidence"))
+    cut = document_passages(documents.join(near.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "chunk", "passage")
+    second = near.join(cut, ["doc_id", "chunk"]).select("ticket_id", F.lit(2).alias("tier"), "place", F.col("doc_id").cast("string").alias("source"), "chunk", "score", extract(F.col("passage")).alias("evidence"))
+    return first.unionByName(second)
+
+
+def answers(found: DataFrame, tickets: DataFrame, history: DataFrame) -> DataFrame:
+    """(ticket_id, solution_rank, sps_id, confidence, intent, exact_part, solution_text): up to three verbatim answers a ticket, out of the shortlists ``found``.
 
     The shortlist's texts are fetched after the ranking, for its few rows only.
     """
-    found = shortlisted(tickets, history, groups)
     problems = askable_tickets(tickets).select(F.col("ticket_id").alias("query_id"), F.col("problem").alias("asked"))
     texts = usable_history(history).select("row_id", F.col("problem").alias("known"), "solution")
     both = found.join(problems, "query_id").join(texts, "row_id")
