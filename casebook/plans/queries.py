@@ -14,6 +14,8 @@ from casebook.functions import text as T
 from casebook.operators import families, models, ranking, records, sums, textvectors
 from casebook.operators.search import hashed_counts, nearest_in_scope
 from casebook.plans import resolve
+from casebook.sources.headers import with_fields
+from casebook.sources.sheets import read_sheet, write_csv
 from casebook.storage import table
 from casebook.streaming.ingest import ingest
 
@@ -56,7 +58,24 @@ _groups = f"""g AS (SELECT {_part('commodity_code')} AS commodity_code, {_flat('
 # ---------------------------------------------------------------- loading
 
 
-@_query()
+_field = r"""(?:"(?:[^"]|"")*"|[^",\r\n]*)"""
+_value = lambda i: f"""CASE WHEN starts_with(f[{i}], '"') THEN replace(f[{i}][2:-2], '""', '"') ELSE f[{i}] END"""
+_unseen = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(records._EMPTY))
+# a record's fields each follow a comma, once one stands before the first; a line break behind them is no record
+_p2_found = f"""WITH r AS (SELECT record_id, coalesce(feed, '') AS feed, regexp_extract(coalesce(raw_text, ''), '^({_field}(?:,{_field})*)(?:[\\r\\n]|\\z)', 1) AS first, coalesce(raw_text, '') AS t,
+      regexp_matches(coalesce(raw_text, ''), '^{_field}(?:,{_field})*(?:[\\r\\n]|\\z)') AS formed FROM raw_records),
+    f AS (SELECT *, regexp_extract_all(',' || first, ',({_field})', 1) AS f, CASE feed WHEN 'bulk_tickets' THEN 5 WHEN 'boilerplate_history' THEN 6 END AS width,
+      substr(t, length(first) + 1) NOT IN ('', chr(10), chr(13), chr(13) || chr(10)) AS goes_on FROM r),
+    v AS (SELECT *, {', '.join(f"{_value(i)} AS v{i}" for i in range(1, 7))} FROM f),
+    dated AS (SELECT *, regexp_full_match(v6, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') AND NOT starts_with(v6, '0000') AND try_cast(v6[:10] AS DATE) IS NOT NULL AS dated FROM v),
+    reasons AS (SELECT record_id, CASE WHEN NOT formed THEN 'quoting' WHEN width IS NULL OR len(f) <> width THEN 'columns'
+      WHEN NOT regexp_full_match(v1, '[A-Z]{{1,4}}-[0-9]+') OR NOT regexp_matches(v2, '[^\\p{{C}}\\p{{Z}}/_.{_unseen}-]') OR length({_trim('v4')}) < 10 OR width = 6 AND (length({_trim('v5')}) < 15 OR NOT dated)
+        OR len(list_filter([v1, v2, v3, v4, v5, coalesce(v6, '')], lambda x: regexp_matches(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}\\x{{fffd}}]'))) > 0 THEN 'value'
+      WHEN goes_on THEN 'columns' END AS reason FROM dated)
+    SELECT record_id, reason FROM reasons WHERE reason IS NOT NULL"""
+
+
+@_query(_p2_found)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return records.failures(records.parse_records(table(spark, d, "raw_records")))
 
@@ -81,6 +100,24 @@ def p2_located_errors(spark: SparkSession, d: str) -> DataFrame:
     return failed.join(raw, "record_id").select("record_id", "record_no", "file_name", (F.col("line_no") + F.col("error_line") - 1).alias("file_line"), "error_column", "reason", "message")
 
 
+#: The fields of a history export, and the headers that two systems might give them.
+_EXPORTED = {
+    "sps_id": ("SPS_ID", "SPS-ID"), "part_number": ("Part_Number", "PartNo"), "issue_type": ("Issue_Type", "issue type"), "problem_description": ("Problem_Description", "Problem"),
+    "solution_text": ("Solution_Text", "Actual Solution"), "last_modified_date": ("Last_Modified_Date", "Modified"),
+}
+
+
+@_query(f"""SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in _EXPORTED)}, count(*) AS n_rows FROM boilerplate_history GROUP BY ALL""")
+def history_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """The history as read from sheets of two systems, which name and order the columns in their own ways: dated rows come from one, the others from the other."""
+    history = table(spark, d, "boilerplate_history")
+    dated = F.coalesce(F.trim("last_modified_date"), F.lit("")) != ""
+    first = history.where(dated).select(*(F.col(c).alias(names[0]) for c, names in _EXPORTED.items()))
+    second = history.where(~dated).select(*(F.col(c).alias(names[1]) for c, names in reversed(_EXPORTED.items())))
+    rows = with_fields(read_sheet(spark, write_csv({"first": first, "second": second}, "sheets")))
+    return rows.groupBy(*_EXPORTED).agg(F.count("*").alias("n_rows"))
+
+
 # ---------------------------------------------------------------- text columns
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casebook.sources.headers import HISTORY, header_map, normal
+from casebook.storage import intermediate
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -47,6 +48,18 @@ def read_sheet(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...
     return filled.where(reduce(lambda a, b: a | b, (F.col(f"`{c}`") != "" for c in data))) if data else filled
 
 
+def write_csv(parts: dict[str, DataFrame], label: str) -> str:
+    """Write each of ``parts`` as .csv files with headers to a folder of its own in the shared one; gives the pattern of all files.
+
+    A file holds a partition.  Nulls become empty cells; blanks stay.
+    """
+    root = intermediate(next(iter(parts.values())).sparkSession, label)
+    for name, rows in parts.items():
+        kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        rows.write.options(header=True, quoteAll=True, escape='"', **kept).csv(f"{root}/{name}")
+    return f"{root}/*/*.csv"
+
+
 def _keys(header: list[str], aliases: dict[str, tuple[str, ...]]) -> dict[int, tuple[str, str]]:
     """place -> (key, name) of a workbook's named columns; columns of several workbooks with the same key belong together."""
     fields = {column: field for field, column in reversed(header_map([h for h in header if h], aliases, ()).items())}

@@ -38,11 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def intermediate(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, which ``remove_intermediate`` removes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = intermediate(df.sparkSession, label)
     df.write.parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
