@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +44,70 @@ def floor_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
     return placed.groupBy(group).agg(F.max("n").alias("n"), *(F.max(F.when(hit(f), F.col("v"))).alias(name) for name, f in shares.items()))
 
 
-def longest_runs(df: DataFrame, group: str, block: str, order: list[str], hit: Column) -> DataFrame:
+def longest_runs(df: DataFrame, group: str, order: list[str], hit: Column) -> DataFrame:
     """(group, longest_run): the most rows in a row, in ``order``, for which ``hit`` holds; 0 if none, null hits being none.
 
-    ``block`` is a column that follows the order (a day for times), by which a
-    group is spread over tasks.
+    A null group is a group.  Rows that are equal in all of ``order`` have no
+    order.  Rows are sorted into ranges of group and order, so a group of any
+    size is spread over tasks; each task gives one row for a group, and those
+    are put together: at most as many as there are ranges.
     """
-    marked = df.select(F.col(group), F.col(block).alias("__block"), *order, F.coalesce(hit, F.lit(False)).alias("__hit"))
-    marked = marked.withColumn("__miss", (~F.col("__hit")).cast("bigint"))
-    runs = running_sum(marked, [group], "__block", order, "__miss", "__island").groupBy(group, "__island").agg(F.count_if("__hit").alias("run"))
-    return runs.groupBy(group).agg(F.max("run").alias("longest_run"))
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, starts, *columns = _stretches(batch)
+            found = [tuple(x) for x in np.stack(columns, 1).tolist()]
+            names = keys.take(pa.array(starts))
+            if held is not None:
+                if held[0].equals(names[0]):
+                    found[0] = _joined(held[1], found[0])
+                else:
+                    yield _runs(held[0].type, [held[0].as_py()], [held[1]], part)
+            if len(found) > 1:
+                yield _runs(names.type, names[:-1], found[:-1], part)
+            held = names[-1], found[-1]
+        if held is not None:
+            yield _runs(held[0].type, [held[0].as_py()], [held[1]], part)
+
+    marked = df.select(F.col(group).alias("group"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(order)), F.coalesce(hit, F.lit(False)).alias("__hit"))
+    keys = ["group", *(f"__{i}" for i in range(len(order)))]
+    ranges = marked.repartitionByRange(*keys).sortWithinPartitions(*keys).select("group", "__hit")
+    parts = ranges.mapInArrow(run, f"group {kind}, part int, n bigint, head bigint, tail bigint, best bigint")
+    listed = parts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("part", "n", "head", "tail", "best"))).alias("parts"))
+    # the longest run so far, and the one that reaches to the end so far
+    none = F.struct(F.lit(0).cast("bigint").alias("best"), F.lit(0).cast("bigint").alias("tail"))
+    both = lambda a, x: F.struct(
+        F.greatest(a["best"], x["best"], a["tail"] + x["head"]).alias("best"),
+        F.when(x["head"] == x["n"], a["tail"] + x["n"]).otherwise(x["tail"]).alias("tail"),
+    )
+    return listed.select(F.col("group").alias(group), F.aggregate("parts", none, both)["best"].alias("longest_run"))
+
+
+def _stretches(batch: pa.RecordBatch) -> tuple:
+    """(keys, where each key's rows begin, their number, the hits at their beginning, at their end, the longest run) of sorted rows."""
+    keys = batch.column(0)
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    miss = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    at = np.arange(len(codes))
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    ends = np.append(starts[1:], len(codes))
+    last = np.where(miss, at, -1)
+    last[starts] = np.maximum(last[starts], starts - 1)
+    run = at - np.maximum.accumulate(last)
+    head = np.minimum(np.minimum.reduceat(np.where(miss, at, len(at)), starts), ends) - starts
+    return keys, starts, ends - starts, head, run[ends - 1], np.maximum.reduceat(run, starts)
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """(n, head, tail, best) of two stretches, one after the other."""
+    return a[0] + b[0], a[0] + b[1] if a[1] == a[0] else a[1], a[2] + b[0] if b[1] == b[0] else b[2], max(a[3], b[3], a[2] + b[1])
+
+
+def _runs(kind: pa.DataType, keys: list | pa.Array, found: list[tuple], part: int) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64()) for c in zip(*found)]
+    keys = keys if isinstance(keys, pa.Array) else pa.array(keys, kind)
+    return pa.RecordBatch.from_arrays([keys, pa.array([part] * len(found), pa.int32()), *columns], ["group", "part", "n", "head", "tail", "best"])

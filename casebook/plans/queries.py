@@ -534,7 +534,7 @@ def score_percentiles(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, max(run) AS longest_run FROM (SELECT user_id, island, count(*) FILTER (WHERE hit) AS run FROM m GROUP BY 1, 2) GROUP BY 1""")
 def error_runs(spark: SparkSession, d: str) -> DataFrame:
     """Each user's longest run of errors."""
-    return sums.longest_runs(table(spark, d, "events").withColumn("day", F.to_date("ts")), "user_id", "day", ["ts", "event_id"], F.col("event_type") == "error")
+    return sums.longest_runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
 
 
 @_query("""SELECT min(cosine_similarity) FILTER (WHERE exact_part) AS least_match, max(cosine_similarity) FILTER (WHERE NOT exact_part) AS most_other,

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -50,12 +51,32 @@ def test_percentiles_and_running_sums(spark):
 
 
 def test_longest_runs(spark):
-    rows = [("a", i, t) for i, t in enumerate("eexeeexx")] + [("b", 1, "x"), ("c", 1, None), ("c", 2, "e")]
+    rows = [("a", i, t) for i, t in enumerate("eexeeexx")] + [("b", 1, "x"), ("c", 1, None), ("c", 2, "e"), (None, 1, "e")]
     df = spark.createDataFrame(rows, "u string, i int, t string")
-    for width in (100, 2, 1):
-        blocks = df.withColumn("b", F.floor(F.col("i") / width))
-        got = {r["u"]: r["longest_run"] for r in sums.longest_runs(blocks, "u", "b", ["i"], F.col("t") == "e").collect()}
-        assert got == {"a": 3, "b": 0, "c": 1}
+    got = {r["u"]: r["longest_run"] for r in sums.longest_runs(df, "u", ["i"], F.col("t") == "e").collect()}
+    assert got == {"a": 3, "b": 0, "c": 1, None: 1}
+    assert sums.longest_runs(df.limit(0), "u", ["i"], F.col("t") == "e").collect() == []
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_longest_runs_over_tasks_and_batches(spark, batch):
+    rng = random.Random(batch)
+    rows = [(None if u == 3 else u, i, rng.random() < rng.choice([0.5, 0.95])) for u, n in enumerate([400, 30, 1, 5]) for i in range(n)]
+    expected = {}
+    for u, hits in itertools.groupby(rows, lambda r: r[0]):
+        runs = [len(list(g)) for hit, g in itertools.groupby(r[2] for r in hits) if hit]
+        expected[u] = max(runs, default=0)
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        df = spark.createDataFrame(rows, "u int, i int, h boolean")
+        assert {r["u"]: r["longest_run"] for r in sums.longest_runs(df, "u", ["i"], F.col("h")).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def test_counters_with_nulls(spark):
