@@ -49,7 +49,7 @@ _ID = re.compile(r"[A-Z]{1,4}-[0-9]+")
 _WHEN = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:Z|[+-]([0-9]{2}):([0-9]{2}))")
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�]")
 # Code points without a look that aren't of the categories C or Z.
-_EMPTY = set("͏ᅟᅠ឴឵⠀ㅤﾠ") | {chr(n) for n in (*range(0x180B, 0x1810), *range(0xFE00, 0xFE10))}
+UNSEEN = set("͏ᅟᅠ឴឵⠀ㅤﾠ") | {chr(n) for n in (*range(0x180B, 0x1810), *range(0xFE00, 0xFE10))}
 
 
 class QuoteError(Exception):
@@ -147,7 +147,7 @@ def _instant(text: str) -> bool:
 
 
 def _part(text: str) -> bool:
-    return any(c not in "-/_." and c not in _EMPTY and unicodedata.category(c)[0] not in "CZ" for c in text)
+    return any(c not in "-/_." and c not in UNSEEN and unicodedata.category(c)[0] not in "CZ" for c in text)
 
 
 #: What makes a field's value invalid, by field.

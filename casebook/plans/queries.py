@@ -60,7 +60,7 @@ _groups = f"""g AS (SELECT {_part('commodity_code')} AS commodity_code, {_flat('
 
 _field = r"""(?:"(?:[^"]|"")*"|[^",\r\n]*)"""
 _value = lambda i: f"""CASE WHEN starts_with(f[{i}], '"') THEN replace(f[{i}][2:-2], '""', '"') ELSE f[{i}] END"""
-_unseen = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(records._EMPTY))
+_unseen = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(records.UNSEEN))
 # a record's fields each follow a comma, once one stands before the first; a line break behind them is no record
 _p2_found = f"""WITH r AS (SELECT record_id, coalesce(feed, '') AS feed, regexp_extract(coalesce(raw_text, ''), '^({_field}(?:,{_field})*)(?:[\\r\\n]|\\z)', 1) AS first, coalesce(raw_text, '') AS t,
       regexp_matches(coalesce(raw_text, ''), '^{_field}(?:,{_field})*(?:[\\r\\n]|\\z)') AS formed FROM raw_records),
