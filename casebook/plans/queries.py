@@ -107,15 +107,14 @@ _EXPORTED = {
 }
 
 
-@_query(f"""SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in _EXPORTED)}, count(*) AS n_rows FROM boilerplate_history GROUP BY ALL""")
+@_query(f"""SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in _EXPORTED)} FROM boilerplate_history""")
 def history_sheets(spark: SparkSession, d: str) -> DataFrame:
     """The history as read from sheets of two systems, which name and order the columns in their own ways: dated rows come from one, the others from the other."""
     history = table(spark, d, "boilerplate_history")
     dated = F.coalesce(F.trim("last_modified_date"), F.lit("")) != ""
     first = history.where(dated).select(*(F.col(c).alias(names[0]) for c, names in _EXPORTED.items()))
     second = history.where(~dated).select(*(F.col(c).alias(names[1]) for c, names in reversed(_EXPORTED.items())))
-    rows = with_fields(read_sheet(spark, write_csv({"first": first, "second": second}, "sheets")))
-    return rows.groupBy(*_EXPORTED).agg(F.count("*").alias("n_rows"))
+    return with_fields(read_sheet(spark, write_csv({"first": first, "second": second}, "sheets"))).select(*_EXPORTED)
 
 
 # ---------------------------------------------------------------- text columns
